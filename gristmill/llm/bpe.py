@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with DuckDB.
 
 Each task splits its texts into the pattern's pieces and asks DuckDB for the ids of those it hasn't met: a
-recursive query holds a row for each token position, joins neighbours with the merge table and contracts each
-piece's leftmost pair of minimum rank, until no piece has a pair left. Decoding joins id positions with the
+recursive query unfolds the pieces into a row for each token position, joins neighbours with the merge table and
+contracts each piece's leftmost pair of minimum rank, until no piece has a pair left. Decoding joins id positions with the
 vocabulary and aggregates bytes in order. Pieces are independent of each other, so each distinct piece is
 encoded and decoded once per task while it stays in the cache.
 
@@ -28,23 +28,27 @@ from gristmill.llm.common import fresh, slices, table, text_udf
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces in one recursive query, rounds before the query is asked again, pieces in a task's cache.
-QUERY_BYTES, ROUNDS, CACHED = 300_000, 48, 400_000
+QUERY_BYTES, ROUNDS, CACHED = 1_000_000, 48, 800_000
 
 _STEP = f"""
-WITH RECURSIVE state(step, word, pos, tok) AS (
-  SELECT 0, word, pos, tok FROM todo
+WITH RECURSIVE state(step, word, toks) AS (
+  SELECT 0, word, list(tok ORDER BY pos) FROM todo GROUP BY word
   UNION ALL
-  (WITH pairs AS (SELECT step, word, pos, tok, lead(tok) OVER w AS follow, lag(pos) OVER w AS prev
-                  FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
+  (WITH pairs AS (SELECT word, generate_subscripts(toks, 1) AS pos, unnest(toks) AS tok, unnest(toks[2:]) AS follow FROM state),
         best AS (SELECT word, min((merged::BIGINT << 32) | pos) AS pick
                  FROM pairs JOIN merges ON a = tok AND b = follow GROUP BY word)
-   SELECT step + 1, pairs.word, pos, CASE WHEN pos = (pick & 4294967295) THEN (pick >> 32)::INT ELSE tok END
-   FROM pairs JOIN best ON pairs.word = best.word
-   WHERE prev IS DISTINCT FROM (pick & 4294967295) AND step < {ROUNDS})
+   SELECT step + 1, state.word, toks[:(pick & 4294967295) - 1] || [(pick >> 32)::INT] || toks[(pick & 4294967295) + 2:]
+   FROM state JOIN best ON state.word = best.word
+   WHERE step < {ROUNDS})
 )
-SELECT state.step, state.word, state.pos, state.tok
-FROM state JOIN (SELECT word, max(step) AS last FROM state GROUP BY word) ends ON state.word = ends.word AND state.step = ends.last
-ORDER BY state.word, state.pos
+SELECT state.* FROM state JOIN (SELECT word, max(step) AS last FROM state GROUP BY word) ends
+ON state.word = ends.word AND state.step = ends.last
+"""
+_TEXTS = """
+SELECT word, array_to_string(toks, ' '), unhex(raw)
+FROM coded JOIN (SELECT word, string_agg(hex(v.tok), '' ORDER BY pos) AS raw
+                 FROM (SELECT word, generate_subscripts(toks, 1) AS pos, unnest(toks) AS id FROM coded) JOIN vocab v USING (id) GROUP BY word)
+USING (word)
 """
 
 
@@ -77,41 +81,55 @@ class Codec:
         self.con.unregister("given")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece; a piece that is a token itself is that token."""
-        out: list = [[r] if (r := self.ranks.get(p)) is not None else None for p in pieces]
-        rest = [i for i, x in enumerate(out) if x is None]
-        at = 0
-        while at < len(rest):
-            part, held = [], 0
-            while at < len(rest) and (not part or held + len(pieces[rest[at]]) <= QUERY_BYTES):
-                part.append(rest[at])
-                held += len(pieces[rest[at]])
-                at += 1
-            for i, ids in zip(part, self._merge([pieces[i] for i in part]), strict=True):
-                out[i] = ids
-        return out
-
-    def _merge(self, pieces: list[bytes]) -> list[list[int]]:
-        size = np.array([len(p) for p in pieces], np.int64)
-        word = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+    def _code(self, pieces: list[bytes]) -> None:
+        """Leaves the ids of the pieces in the table coded(word, toks). A piece that is a token is that token."""
+        whole = [self.ranks.get(p) for p in pieces]
+        open_ = [i for i, r in enumerate(whole) if r is None]
+        self.con.execute("CREATE OR REPLACE TEMP TABLE coded(word INT, toks INT[])")
+        done = pa.table({"word": pa.array([i for i, r in enumerate(whole) if r is not None], pa.int32()), "tok": pa.array([r for r in whole if r is not None], pa.int32())})
+        self.con.register("given", done)
+        self.con.execute("INSERT INTO coded SELECT word, [tok] FROM given")
+        self.con.unregister("given")
+        if not open_:
+            return
+        size = np.array([len(pieces[i]) for i in open_], np.int64)
         starts = np.concatenate([[0], np.cumsum(size)])
+        word = np.repeat(np.array(open_, np.int32), size)
         pos = (np.arange(starts[-1]) - np.repeat(starts[:-1], size)).astype(np.int32)
-        tok = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        done: list = [[] for _ in pieces]
-        while len(word):
-            todo = pa.table({"word": pa.array(word), "pos": pa.array(pos), "tok": pa.array(tok)})
+        todo = pa.table({"word": pa.array(word), "pos": pa.array(pos), "tok": pa.array(self.byte[np.frombuffer(b"".join([pieces[i] for i in open_]), np.uint8)])})
+        while len(todo):
             self.con.register("todo", todo)
-            got = self.con.execute(_STEP).fetchnumpy()
+            self.con.execute("CREATE OR REPLACE TEMP TABLE reached AS " + _STEP)
             self.con.unregister("todo")
-            more = got["step"] >= ROUNDS  # these may have pairs left
-            w, t = got["word"][~more], got["tok"][~more].tolist()
-            if len(w):
-                cuts = [0, *(np.flatnonzero(np.diff(w)) + 1).tolist(), len(w)]
-                for k, x, y in zip(w[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
-                    done[k] = t[x:y]
-            word, pos, tok = got["word"][more], got["pos"][more], got["tok"][more]
-        return done
+            self.con.execute(f"INSERT INTO coded SELECT word, toks FROM reached WHERE step < {ROUNDS}")
+            # the rest may have pairs left
+            todo = self.con.sql(f"SELECT word, generate_subscripts(toks, 1)::INT AS pos, unnest(toks) AS tok FROM reached WHERE step >= {ROUNDS}").to_arrow_table()
+
+    def _parts(self, pieces: list[bytes]) -> Iterator[slice]:
+        a, held = 0, 0
+        for i, p in enumerate(pieces):
+            if i > a and held + len(p) > QUERY_BYTES:
+                yield slice(a, i)
+                a, held = i, 0
+            held += len(p)
+        if pieces:
+            yield slice(a, len(pieces))
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece."""
+        out: list = [[] for _ in pieces]
+        for part in self._parts(pieces):
+            self._code(pieces[part])
+            for word, toks in self.con.execute("SELECT word, toks FROM coded").fetchall():
+                out[part.start + word] = toks
+        return out
+
+    def round_trip(self, pieces: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
+        """(number, ids as decimal text, bytes that the ids decode to) of each piece, in any order."""
+        for part in self._parts(pieces):
+            self._code(pieces[part])
+            for word, ids, raw in self.con.execute(_TEXTS).fetchall():
+                yield part.start + word, ids, raw
 
     def decode(self, rows: list[list[int]]) -> list[bytes]:
         """The bytes of each row of ids, by an aggregation in the order of positions."""
@@ -133,20 +151,27 @@ class Words:
     """What a Python worker knows of pieces: ids (as decimal text) and decoded bytes. Emptied when full."""
 
     def __init__(self, path: str):
-        self.codec, self.ids, self.raw = Codec(path), {}, {}
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """The pieces of each text, all of them known now."""
-        pieces = [self.codec.pieces(t) for t in texts]
-        distinct = set().union(*pieces)
-        new = [p for p in distinct if p not in self.ids]
-        if len(self.ids) + len(new) > CACHED:
-            self.ids, self.raw, new = {}, {}, list(distinct)
-        if new:
-            ids = self.codec.encode_pieces([p.encode("utf-8", "replace") for p in new])
-            for p, i, raw in zip(new, ids, self.codec.decode(ids), strict=True):
-                self.ids[p], self.raw[p] = " ".join(map(str, i)).encode(), raw
-        return pieces
+        self.codec, self.known = Codec(path), {}
+
+    def look_up(self, texts: list[str]) -> list[list[tuple[str, bytes]]]:
+        """(ids as text, decoded bytes) of the pieces of each text, in order."""
+        if len(self.known) > CACHED:
+            self.known = {}
+        known = self.known
+        pieces = list(map(self.codec.pieces, texts))
+        found = [list(map(known.get, p)) for p in pieces]
+        open_ = [k for k, f in enumerate(found) if None in f]
+        new = list({p for k in open_ for p, f in zip(pieces[k], found[k], strict=True) if f is None})
+        for i, ids, raw in self.codec.round_trip([p.encode("utf-8", "replace") for p in new]):
+            known[new[i]] = (ids, raw)
+        for k in open_:
+            found[k] = [known[p] if f is None else f for p, f in zip(pieces[k], found[k], strict=True)]
+        return found
+
+
+def joined(found: list[tuple[str, bytes]]) -> tuple[bytes, bytes]:
+    """A text's ids, with spaces between, and its decoded bytes."""
+    return " ".join([f[0] for f in found]).encode(), b"".join([f[1] for f in found])
 
 
 @cache
@@ -167,7 +192,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
 
     def worker():
         words = words_of(path)
-        return lambda texts: [[int(i) for p in pieces for i in words.ids[p].split()] for pieces in words.learn(texts)]
+        return lambda texts: [list(map(int, joined(found)[0].split())) for found in words.look_up(texts)]
 
     return df.withColumn(out, text_udf(worker, "array<int>", pa.list_(pa.int32()), 1_000_000)(F.col(text)))
 
@@ -202,15 +227,15 @@ def round_trip(df: DataFrame, text: str = "text", out: str = "bpe", keep_text: b
     def worker():
         words = words_of(path)
 
-        def digest(pieces):
-            ids, raw = b" ".join(map(words.ids.__getitem__, pieces)), b"".join(map(words.raw.__getitem__, pieces))
+        def digest(found):
+            ids, raw = joined(found)
             n = ids.count(b" ") + 1 if ids else 0
             return {"n_tokens": n, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(raw).hexdigest(), "decoded": raw.decode("utf-8", "replace") if keep_text else None}
 
-        return lambda texts: list(map(digest, words.learn(texts)))
+        return lambda texts: list(map(digest, words.look_up(texts)))
 
     kind = "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string,decoded:string>"
-    return df.withColumn(out, text_udf(worker, kind, _DIGEST, 2_000_000)(F.col(text)))
+    return df.withColumn(out, text_udf(worker, kind, _DIGEST, 3_000_000)(F.col(text)))
 
 
 _TOKENS = pa.struct([("ids", pa.list_(pa.int32())), ("same", pa.bool_())])
@@ -225,9 +250,10 @@ def tokenize(df: DataFrame, text: str = "text", path: str | None = None) -> Data
         for batch in it:
             ids, same = [], []
             for texts in slices(batch, 1_000_000):
-                for t, pieces in zip(texts, words.learn(texts), strict=True):
-                    ids.append(np.fromstring(b" ".join(map(words.ids.__getitem__, pieces)).decode(), np.int32, sep=" ") if pieces else np.zeros(0, np.int32))
-                    same.append(b"".join(map(words.raw.__getitem__, pieces)) == t.encode("utf-8", "replace"))
+                for t, found in zip(texts, words.look_up(texts), strict=True):
+                    told, raw = joined(found)
+                    ids.append(np.fromstring(told.decode(), np.int32, sep=" ") if found else np.zeros(0, np.int32))
+                    same.append(raw == t.encode("utf-8", "replace"))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             yield pa.StructArray.from_arrays([flat, pa.array(same, pa.bool_())], fields=list(_TOKENS))
