@@ -17,7 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_CHARS = 4_000_000
 
 
+#: Rows in a batch that goes to Python at most. Texts can be long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
