@@ -81,8 +81,9 @@ def jumps(messages: DataFrame, id: str, parent: str, score: str) -> tuple[list[D
             break
         rows = rows if rows is not None else now.count()
         above = now.select(F.col("id").alias("_a"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        j = now.join(above, F.col("up") == F.col("_a"), "left")
-        now = j.select("id", F.col("_up").alias("up"), F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))
+        jumped = now.filter(F.col("up").isNotNull()).join(above, F.col("up") == F.col("_a"))
+        jumped = jumped.select("id", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
+        now = now.filter(F.col("up").isNull()).unionByName(jumped)
         rounds += 1
     return tables[:-1] if not left else tables, now.filter(F.col("up").isNull()).drop("up")
 
