@@ -24,23 +24,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import ensure_checkpoint_dir, table
+from gristmill.llm.common import cut, ensure_checkpoint_dir, table
 
 FILE_RECORDS = 3000
 SEPARATOR = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1: each 5 hex digits are 4 base32 digits."""
-    hexed = F.sha1(data)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lpad(F.conv(F.substring(hexed, i * 5 + 1, F.lit(5)), 16, 32), 4, "0"))
-    return F.translate(F.array_join(parts, ""), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-
-
 def record(kind: str, name: str, uri: str, block: str, ctype: str, *headers: tuple[str, str]) -> str:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {DATE}", *([f"WARC-Target-URI: {uri}"] if uri else []), *[f"{k}: {v}" for k, v in headers], f"Content-Type: {ctype}", f"Content-Length: {len(block.encode())}"]
     return "\r\n".join(lines) + "\r\n\r\n" + block
@@ -64,16 +57,23 @@ def capture_records(name: str, page: int | None, url: str, html: str, digest: st
     yield record("metadata", ids[2], uri, "\r\n".join(fields) + "\r\n", "application/warc-fields", near)
 
 
+#: Groups of equal payloads that are broadcast at most; beyond it they are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
+
+
 def decide(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages: page_id, url, html. Adds digest and original: the largest page id with an equal payload of at least
-    `least` bytes, null for responses."""
+    """pages: page_id, url, html. Adds sha1 (hex) and original: the largest page id with an equal payload of at
+    least `least` bytes, null for responses."""
     raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    named = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), base32_sha1(raw).alias("digest"), (F.octet_length(raw) >= least).alias("_shared"))
-    # groups of one need no join; the others are few and light
-    groups = named.filter("_shared").groupBy("digest").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    joined = named.join(groups.select(F.col("digest").alias("_digest"), "_first"), F.col("_shared") & (F.col("digest") == F.col("_digest")), "left")
+    named = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.sha1(raw).alias("sha1"), (F.octet_length(raw) >= least).alias("_shared"))
+    # only groups of two or more matter to a row; they are light
+    groups = named.filter("_shared").groupBy("sha1").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    groups = cut(groups.select(F.col("sha1").alias("_sha1"), "_first"))
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
+    joined = named.join(groups, F.col("_shared") & (F.col("sha1") == F.col("_sha1")), "left")
     original = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return joined.select("page_id", "url", "html", "digest", original.alias("original"))
+    return joined.select("page_id", "url", "html", "sha1", original.alias("original"))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
@@ -85,7 +85,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
             out, held = [], 0
             for row in batch.to_pylist():
                 n += 1
-                got = list(capture_records(f"{part}/{n}/{row['page_id']}", row["page_id"], row["url"], row["html"], row["digest"], row["original"]))
+                got = list(capture_records(f"{part}/{n}/{row['page_id']}", row["page_id"], row["url"], row["html"], base64.b32encode(bytes.fromhex(row["sha1"])).decode(), row["original"]))
                 out += got
                 held += sum(map(len, got))
                 if held > 4_000_000:
