@@ -12,21 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import bpe, jaccard_join, mixing, quality_rules, secret_scan
-from gristmill.llm.common import ensure_checkpoint_dir
+from gristmill.llm.common import ensure_checkpoint_dir, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    small_batches(spark)
     return quality_rules.filter_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies."""
+    small_batches(spark)
     return jaccard_join.keep_first(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark and n_chars brought up to date."""
+    small_batches(spark)
     return secret_scan.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -37,6 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text."""
+    small_batches(spark)
     return bpe.tokenize(docs).select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
