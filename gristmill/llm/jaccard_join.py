@@ -41,7 +41,7 @@ LEAST, PER = 85, 100
 #: Sets with a token up to which it is rare.
 RARE = 16
 #: Characters in a chunk of texts, tokens in a chunk of sets.
-CHUNK_CHARS, CHUNK_TOKENS = 6_000_000, 1_000_000
+CHUNK_CHARS, CHUNK_TOKENS = 4_000_000, 600_000
 #: Sets and tokens in a block of a large candidate component.
 BLOCK_SETS, BLOCK_TOKENS = 1500, 1_500_000
 BITS = 48
@@ -65,7 +65,7 @@ class Shingler:
         import xxhash
 
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         try:
             return np.array([known[w] for w in words], _U)
