@@ -28,7 +28,7 @@ from gristmill.llm.common import fresh, slices, table, text_udf
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces in one recursive query, rounds before the query is asked again, pieces in a task's cache.
-QUERY_BYTES, ROUNDS, CACHED = 1_000_000, 48, 800_000
+QUERY_BYTES, ROUNDS, CACHED = 1_000_000, 48, 400_000
 
 _STEP = f"""
 WITH RECURSIVE state(step, word, toks) AS (
