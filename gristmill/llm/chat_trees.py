@@ -138,8 +138,9 @@ def unescaped(text: Column) -> Column:
 
 def conversation_tree(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A linear table as a reply tree: id, parent, score (1 for each message), conv_id, role and text."""
-    order = Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_last(), F.col(role).asc_nulls_last(), F.col(text).asc_nulls_last())
-    seq = df.select(F.col(conv).alias("conv_id"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.row_number().over(order).alias("_n"))
+    said, told = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
+    order = Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_last(), said, told)
+    seq = df.select(F.col(conv).alias("conv_id"), said.alias("role"), told.alias("text"), F.row_number().over(order).alias("_n"))
     name = lambda n: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), n.cast("string"))
     return seq.select(name(F.col("_n")).alias("id"), F.when(F.col("_n") > 1, name(F.col("_n") - 1)).alias("parent"), F.lit(1.0).alias("score"), "conv_id", "role", "text")
 
