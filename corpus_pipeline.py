@@ -22,9 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
+    """The document with the smallest doc_id of each group of near copies: a similarity of 0.8 or more over
+    shingles of five words."""
     small_batches(spark)
-    return jaccard_join.keep_first(docs)
+    return jaccard_join.keep_first(docs, size=5, least=80, per=100)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

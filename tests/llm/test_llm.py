@@ -335,11 +335,11 @@ def test_bpe(spark, tmp_path, real):
 # ---- Jaccard join
 
 
-def brute_join(rows):
+def brute_join(rows, size=4, least=85):
     sets = []
     for d, t in rows:
         w = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
     par = list(range(len(rows)))
 
     def find(x):
@@ -349,17 +349,17 @@ def brute_join(rows):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= least * len(a | sets[j]):
                 par[find(i)] = find(j)
-    least: dict = {}
+    first: dict = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
-            least[find(i)] = min(d, least.get(find(i), d))
-    return sorted((str(d), len(s), str(least.get(find(i)))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+            first[find(i)] = min(d, first.get(find(i), d))
+    return sorted((str(d), len(s), str(first.get(find(i)))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
-@pytest.mark.parametrize("seed,blocks", [(1, False), (2, True)])
-def test_jaccard(spark, seed, blocks, monkeypatch):
+@pytest.mark.parametrize("seed,blocks,size,least", [(1, False, 4, 85), (2, True, 4, 85), (3, True, 5, 80)])
+def test_jaccard(spark, seed, blocks, size, least, monkeypatch):
     if blocks:
         monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)
         monkeypatch.setattr(jaccard_join, "RARE", 1)
@@ -374,28 +374,29 @@ def test_jaccard(spark, seed, blocks, monkeypatch):
             texts.append(" ".join(w))
     texts += texts[-6:]
     ids = [*range(len(texts) - 2), 3, None]
-    got = jaccard_join.jaccard_components(docs(spark, texts, ids).withColumn("n_shingles", F.lit("x"))).collect()
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_join(list(zip(ids, texts, strict=True)))
+    got = jaccard_join.jaccard_components(docs(spark, texts, ids).withColumn("n_shingles", F.lit("x")), size=size, least=least).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_join(list(zip(ids, texts, strict=True)), size, least)
 
 
-def test_jaccard_signatures_meet():
+@pytest.mark.parametrize("least", [85, 80])
+def test_jaccard_signatures_meet(least):
     """Any two linked sets share a signature, whatever the frequencies."""
     rng = random.Random(4)
     for _ in range(300):
         n = rng.choice((1, 2, 3, 5, 9, 30, 70, 130, 300))
         a = set(rng.sample(range(10**6), n))
         b = set(a)
-        for _ in range(rng.randrange(0, n // 10 + 1)):
+        for _ in range(rng.randrange(0, n // 8 + 1)):
             b.remove(rng.choice(sorted(b)))
             if rng.random() < 0.5:
                 b.add(rng.randrange(10**6, 2 * 10**6))
-        if not b or 100 * len(a & b) < 85 * len(a | b):
+        if not b or 100 * len(a & b) < least * len(a | b):
             continue
         freq = {t: rng.choice((2, 3, 40, 500)) for t in a | b}
         s = []
         for x in (a, b):
             shared = np.array(sorted(t for t in x if t in a & b or freq[t] > 3), np.uint64)
-            s.append(set(jaccard_join.signatures(len(x), shared, np.array([freq[int(t)] for t in shared]), 85, 100).tolist()))
+            s.append(set(jaccard_join.signatures(len(x), shared, np.array([freq[int(t)] for t in shared]), least, 100).tolist()))
         assert s[0] & s[1]
 
 
@@ -452,7 +453,7 @@ def test_pipeline(spark, tmp_path, real):
     one = stage["quality rules"](spark, docs_, DATA)
     assert sorted(r.doc_id for r in one.collect()) == [i for i, _ in kept] and one.columns == docs_.columns
     two = stage["n-gram Jaccard join"](spark, one, DATA)
-    assert sorted(r.doc_id for r in two.collect()) == sorted({int(c) for _, _, c in brute_join(kept)}) and two.columns == docs_.columns
+    assert sorted(r.doc_id for r in two.collect()) == sorted({int(c) for _, _, c in brute_join(kept, 5, 80)}) and two.columns == docs_.columns
     three = stage["secret scans"](spark, two, DATA)
     before, after = {r.doc_id: r for r in two.collect()}, {r.doc_id: r for r in three.collect()}
     assert before.keys() == after.keys() and three.columns == docs_.columns
