@@ -196,3 +196,31 @@ def any_op(x: Column, array: Column, op) -> Column:
 
 def all_op(x: Column, array: Column, op) -> Column:
     return F.forall(array, lambda e: op(x, e))
+
+
+def xml_text(x: Column) -> Column:
+    """A value as XML content: markup escaped; null stays null."""
+    s = F.replace(F.replace(F.replace(x.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.replace(s, F.lit("\r"), F.lit("&#x0d;"))
+
+
+def xml_element(name: str, attributes: dict[str, Column] | None = None, *content: Column) -> Column:
+    """An element with attributes, null ones left out, around content that is XML already; without content it is
+    an empty tag."""
+    head = [F.coalesce(F.concat(F.lit(f' {k}="'), F.replace(xml_text(v), F.lit('"'), F.lit("&quot;")), F.lit('"')), F.lit("")) for k, v in (attributes or {}).items()]
+    body = F.concat_ws("", *content) if content else F.lit("")
+    start = F.concat(F.lit(f"<{name}"), *head)
+    return F.when(body == "", F.concat(start, F.lit("/>"))).otherwise(F.concat(start, F.lit(">"), body, F.lit(f"</{name}>")))
+
+
+def xml_forest(**values: Column) -> Column:
+    """An element for each value that isn't null."""
+    parts = [F.when(v.isNotNull(), F.concat(F.lit(f"<{k}>"), xml_text(v), F.lit(f"</{k}>"))) for k, v in values.items()]
+    return F.concat_ws("", *parts)
+
+
+def split_part(s: Column, delimiter: str, n: int) -> Column:
+    """Field n from 1, empty beyond the last one; n must be positive."""
+    if n < 1:
+        raise ValueError("field position must be greater than zero")
+    return F.split_part(s, F.lit(delimiter), F.lit(n))

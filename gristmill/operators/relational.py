@@ -67,9 +67,11 @@ def recursive_union(seed: DataFrame, step, distinct: bool = True, most: int = 10
 
 
 def update_from(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """The table's new version: columns of changes replace those of rows with an equal key."""
-    new = {c: F.coalesce(F.col(f"n.{c}"), F.col(f"t.{c}")).alias(c) if c in changes.columns and c != key else F.col(f"t.{c}") for c in table.columns}
-    return table.alias("t").join(changes.alias("n"), key, "left").select(*[F.col(key) if c == key else e for c, e in new.items()])
+    """The table's new version: rows with an equal key take the columns of changes, nulls included. A key that
+    changes hold more than once would give several versions of a row, so it must be unique there."""
+    hit = F.col("n._hit").isNotNull()
+    new = [F.col(key) if c == key else F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"t.{c}")).alias(c) if c in changes.columns else F.col(f"t.{c}") for c in table.columns]
+    return table.alias("t").join(changes.withColumn("_hit", F.lit(True)).alias("n"), key, "left").select(*new)
 
 
 def delete_using(table: DataFrame, doomed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -45,7 +45,7 @@ def r04_recursive_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.recursive_union(spark.range(1).select(F.lit(0).cast("long").alias("n")), lambda w: w.join(e, F.col("n") == F.col("a")).select(F.col("b").alias("n")))
 
 
-@register("SELECT c_custkey, c_nationkey, CASE WHEN s_acctbal IS NULL THEN c_acctbal ELSE s_acctbal END AS c_acctbal FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+@register("SELECT c_custkey, c_nationkey, CASE WHEN s_suppkey IS NULL THEN c_acctbal ELSE s_acctbal END AS c_acctbal FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
 def r05_update_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
     return relational.update_from(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), new, "c_custkey")
@@ -212,3 +212,9 @@ def r16_top_n_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r17_fragmented_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouping on the fragment attribute reuses its placement."""
     return relational.fragment(load(spark, sf_dir, "customer").select("c_nationkey"), "c_nationkey", 8).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("""SELECT n_nationkey, '<nation id="' || n_nationkey || '"><name>' || replace(replace(replace(n_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</name><region>' || n_regionkey || '</region></nation>' AS xml FROM nation""")
+def r18_xml_element(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = compat.xml_forest(name=F.col("n_name"), region=F.col("n_regionkey"))
+    return load(spark, sf_dir, "nation").select("n_nationkey", compat.xml_element("nation", {"id": F.col("n_nationkey")}, inner).alias("xml"))

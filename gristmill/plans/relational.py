@@ -80,6 +80,15 @@ SHARED = {
     "q47_wisconsin_join": "SELECT count(*) AS n, max(l_quantity) AS q FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_orderkey < 1000",
     "q48_wisconsin_min": "SELECT l_suppkey % 100 AS g, min(l_partkey) AS least_part FROM {lineitem} GROUP BY 1",
     "q49_bank_balance": """SELECT c_nationkey, count(*) AS accounts, CAST(sum(CAST(c_acctbal AS decimal(18,2))) AS double) AS balance FROM {customer} GROUP BY c_nationkey""",
+    "q64_regression_aggs": """SELECT p_brand, round(regr_sxx(p_retailprice, p_size), 3) AS sxx, round(regr_sxy(p_retailprice, p_size), 2) AS sxy,
+        round(regr_avgx(p_retailprice, p_size), 6) AS ax, round(regr_avgy(p_retailprice, p_size), 6) AS ay, round(regr_r2(p_retailprice, p_size), 6) AS r2,
+        round(covar_pop(p_retailprice, p_size), 4) AS cp, round(covar_samp(p_retailprice, p_size), 4) AS cs FROM {part} GROUP BY p_brand""",
+    "q65_full_join_using": """SELECT k, a, b FROM (SELECT c_nationkey AS k, count(*) AS a FROM {customer} GROUP BY 1) x
+        FULL JOIN (SELECT s_nationkey + 5 AS k, count(*) AS b FROM {supplier} GROUP BY 1) y USING (k)""",
+    "q66_natural_join": """SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS r_regionkey FROM {nation}) n NATURAL JOIN (SELECT r_regionkey, r_name FROM {region}) r""",
+    "q67_set_precedence": """SELECT c_nationkey AS k FROM {customer} UNION (SELECT s_nationkey FROM {supplier} EXCEPT SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)""",
+    "q68_nested_exists": """SELECT s_suppkey FROM {supplier} s WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49
+        AND l.l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'F'))""",
     "q50_aliases_star": "SELECT n.*, r.r_name AS region_name FROM {nation} AS n, {region} AS r WHERE n.n_regionkey = r.r_regionkey",
 }
 
@@ -101,6 +110,19 @@ PAIRS = {
     "q61_words": ("SELECT d.w AS w, count(*) AS n FROM (SELECT explode(split(lower(text), ' +')) AS w FROM {documents}) d WHERE length(d.w) > 3 GROUP BY 1 HAVING count(*) > 50",
                   "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), ' +')) AS w FROM {documents}) WHERE length(w) > 3 GROUP BY 1 HAVING count(*) > 50"),
     "q62_json_property": ("SELECT event_type, sum(cast(get_json_object(props, '$.k') AS bigint)) AS k FROM {events} GROUP BY event_type", "SELECT event_type, sum((props->>'k')::bigint)::bigint AS k FROM {events} GROUP BY event_type"),
+    "q69_string_agg": ("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey",
+                       "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey"),
+    "q70_text_functions_2": ("""SELECT p_partkey, split_part(p_name, ' ', 1) AS first_word, btrim(p_name, 'sr') AS bt, chr(65 + p_size % 26) AS ch, lower(hex(p_partkey)) AS hx,
+                                overlay(p_name PLACING 'XX' FROM 2 FOR 3) AS ov, octet_length(p_name) AS ol, base64(cast(p_name AS binary)) AS b64, rtrim('x', p_brand) AS rt FROM {part}""",
+                             """SELECT p_partkey, split_part(p_name, ' ', 1) AS first_word, trim(p_name, 'sr') AS bt, chr((65 + p_size % 26)::INTEGER) AS ch, lower(to_hex(p_partkey)) AS hx,
+                                left(p_name, 1) || 'XX' || substr(p_name, 5) AS ov, strlen(p_name) AS ol, base64(encode(p_name)) AS b64, rtrim(p_brand, 'x') AS rt FROM {part}"""),
+    "q71_all_subquery": ("SELECT p_partkey FROM {part} WHERE p_retailprice >= (SELECT max(p_retailprice) FROM {part} WHERE p_size = 7) OR NOT EXISTS (SELECT 1 FROM {part} WHERE p_size = 7)",
+                         "SELECT p_partkey FROM {part} WHERE p_retailprice >= ALL (SELECT p_retailprice FROM {part} WHERE p_size = 7)"),
+    "q72_array_slice": ("SELECT p_partkey, concat_ws(' ', slice(split(p_name, ' '), 1, 1)) AS head, cast(size(split(p_name, ' ')) AS bigint) AS n, array_position(split(p_name, ' '), 'ring') AS at FROM {part}",
+                        "SELECT p_partkey, array_to_string(string_split(p_name, ' ')[1:1], ' ') AS head, len(string_split(p_name, ' ')) AS n, coalesce(list_position(string_split(p_name, ' '), 'ring'), 0)::bigint AS at FROM {part}"),
+    "q73_date_intervals": ("SELECT o_orderkey, cast(add_months(o_orderdate, 1) AS date) AS next_month, cast(date_add(cast(o_orderdate AS date), 10) AS date) AS later, cast(last_day(o_orderdate) AS date) AS month_end FROM {orders}",
+                           "SELECT o_orderkey, (o_orderdate + INTERVAL 1 MONTH)::date AS next_month, (o_orderdate + INTERVAL 10 DAY)::date AS later, last_day(o_orderdate) AS month_end FROM {orders}"),
+    "q74_generate_series": ("SELECT n_nationkey, x FROM {nation} LATERAL VIEW explode(sequence(0, n_nationkey, 5)) t AS x", "SELECT n_nationkey, unnest(generate_series(0, n_nationkey, 5)) AS x FROM {nation}"),
     "q63_levenshtein": ("SELECT a.n_name AS x, b.n_name AS y, levenshtein(a.n_name, b.n_name) AS d FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey",
                         "SELECT a.n_name AS x, b.n_name AS y, levenshtein(a.n_name, b.n_name) AS d FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey"),
 }

@@ -43,6 +43,7 @@ def test_connect_by(spark):
 def test_dml(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert sorted(map(tuple, relational.update_from(t, spark.createDataFrame([(2, "z")], "k int, v string"), "k").collect())) == [(1, "a"), (2, "z")]
+    assert sorted(map(tuple, relational.update_from(t, spark.createDataFrame([(2, None)], "k int, v string"), "k").collect())) == [(1, "a"), (2, None)]
     kept, gone = relational.delete_using(t, spark.createDataFrame([(1,)], "k int"), "k")
     assert [r.k for r in kept.collect()] == [2] and [r.k for r in gone.collect()] == [1]
 
@@ -165,6 +166,14 @@ def test_functions(spark):
     assert len(got) == 2 and None in got
 
 
+def test_xml(spark):
+    lit = F.lit
+    assert one(spark, compat.xml_element("a")) == "<a/>"
+    assert one(spark, compat.xml_element("a", {"x": lit('1"<'), "y": lit(None)}, compat.xml_text(lit("b & c")))) == '<a x="1&quot;&lt;">b &amp; c</a>'
+    assert one(spark, compat.xml_forest(p=lit(1), q=lit(None), r=lit("z"))) == "<p>1</p><r>z</r>"
+    assert one(spark, compat.split_part(lit("a,b"), ",", 3)) == ""
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a,"b'), (2, None)], "k int, v string")
     readers.copy_to(df, str(tmp_path / "csv"), csv=True, header=True)
