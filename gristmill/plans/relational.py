@@ -80,7 +80,7 @@ SHARED = {
     "q47_wisconsin_join": "SELECT count(*) AS n, max(l_quantity) AS q FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_orderkey < 1000",
     "q48_wisconsin_min": "SELECT l_suppkey % 100 AS g, min(l_partkey) AS least_part FROM {lineitem} GROUP BY 1",
     "q49_bank_balance": """SELECT c_nationkey, count(*) AS accounts, CAST(sum(CAST(c_acctbal AS decimal(18,2))) AS double) AS balance FROM {customer} GROUP BY c_nationkey""",
-    "q64_regression_aggs": """SELECT p_brand, round(regr_sxx(p_retailprice, p_size), 3) AS sxx, round(regr_sxy(p_retailprice, p_size), 2) AS sxy,
+    "q64_regression_aggs": """SELECT p_brand, round(regr_sxx(p_retailprice, p_size), 3) AS sxx, round(regr_sxy(p_retailprice, p_size), 6) AS sxy,
         round(regr_avgx(p_retailprice, p_size), 6) AS ax, round(regr_avgy(p_retailprice, p_size), 6) AS ay, round(regr_r2(p_retailprice, p_size), 6) AS r2,
         round(covar_pop(p_retailprice, p_size), 4) AS cp, round(covar_samp(p_retailprice, p_size), 4) AS cs FROM {part} GROUP BY p_brand""",
     "q65_full_join_using": """SELECT k, a, b FROM (SELECT c_nationkey AS k, count(*) AS a FROM {customer} GROUP BY 1) x
