@@ -1,11 +1,11 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored by the plain text in them; each gives its share of the page's score to its
-path of generalised tag-class steps. The paths' votes are summed per host in Spark. Every page of a host is then
-extracted again from the elements on the host's winning path; a page that lacks it uses its own best container.
+Each page chooses the path of generalised tag-class steps whose elements hold its article, parts in sibling and
+nested containers included. The paths' votes are summed per host in Spark. Every page of a host is then extracted
+again from the elements on the host's winning path; a page that lacks it uses its own choice.
 
-Cases: a null or empty html has an empty text; pages without a host (null or odd urls) use their own best
-container; broken markup never fails: unclosed elements end with their parents, stray end tags are ignored;
+Cases: a null or empty html has an empty text; pages without a host (null or odd urls) use their own
+choice; broken markup never fails: unclosed elements end with their parents, stray end tags are ignored;
 repeated pages are extracted each; ties are settled by path, the shorter and then the smaller one first.
 """
 
@@ -41,21 +41,23 @@ AWAY = re.compile(
 #: Elements that a new one of the same group closes.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 SHARE = 1_000_000
+#: The share of a page's text outside links that its article holds at least.
+NEARLY = 0.9
 
 
 class Node:
-    __slots__ = ("tag", "step", "parent", "away", "semantic", "score", "depth")
+    __slots__ = ("tag", "step", "parent", "away", "semantic", "depth", "_path")
 
     def __init__(self, tag: str, step: str, parent: Node | None, away: bool, semantic: bool):
         self.tag, self.step, self.parent, self.away, self.semantic = tag, step, parent, away, semantic
-        self.score, self.depth = 0.0, parent.depth + 1 if parent else 0
+        self.depth = parent.depth + 1 if parent else 0
+        self._path: str | None = None
 
     def path(self) -> str:
-        steps, n = [], self
-        while n is not None and n.parent is not None:
-            steps.append(n.step)
-            n = n.parent
-        return "/".join(reversed(steps))
+        if self._path is None:
+            up = self.parent.path() if self.parent is not None and self.parent.parent is not None else ""
+            self._path = f"{up}/{self.step}" if up else self.step
+        return self._path
 
 
 def blocks(page: str) -> list[tuple[Node, str, int]]:
@@ -165,51 +167,80 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
     return out
 
 
-def scored(found: list[tuple[Node, str, int]]) -> list[Node]:
-    """The containers that hold the blocks, scored: a block counts in full for the container it stands in, by
-    half for the next one out and so on; semantic containers count twice. Best first, outer ones before inner."""
-    seen: dict[int, Node] = {}
+def chosen(found: list[tuple[Node, str, int]]) -> str | None:
+    """The path whose elements hold the page's article: the deepest one that still holds NEARLY all of the text
+    outside links. From there it climbs, up to the outermost article or to the containers below main and body, as
+    long as what an outer container adds isn't mostly links, so leads, titles and short parts stay. None if no
+    container holds such text."""
+    worth: dict[str, int] = {}
+    chars: dict[str, tuple[int, int]] = {}
+    nodes: dict[str, Node] = {}
+    total = 0
     for node, line, linked in found:
-        worth, n = max(0, len(line) - 2 * linked), node
-        while n is not None and n.parent is not None and worth > 0.01:
+        w, n = max(0, len(line) - 2 * linked), node
+        total += w
+        while n is not None and n.parent is not None:
             if n.tag in CONTAINER:
-                n.score += worth * (1 + n.semantic)
-                seen[id(n)] = n
-                worth /= 2
+                p = n.path()
+                nodes.setdefault(p, n)
+                worth[p] = worth.get(p, 0) + w
+                x, y = chars.get(p, (0, 0))
+                chars[p] = x + len(line), y + linked
             n = n.parent
-    return sorted(seen.values(), key=lambda n: (-n.score, n.depth, n.path()))
+    held = [p for p, w in worth.items() if w > 0 and w >= NEARLY * total]
+    if not held:
+        return max((p for p, w in worth.items() if w > 0), key=lambda p: (worth[p], -len(p), p), default=None)
+    best = max(held, key=lambda p: nodes[p].depth)
+    up, n = [], nodes[best]
+    while n is not None and n.parent is not None:
+        if n.tag in CONTAINER:
+            up.append(n)
+        n = n.parent
+    articles = [x.path() for x in up if x.semantic and x.tag != "main"]
+    if articles:
+        return articles[-1]
+    for x in up:
+        p = x.path()
+        if x.tag == "body":
+            break
+        more, links = chars[p][0] - chars[best][0], chars[p][1] - chars[best][1]
+        if 3 * links > more:
+            break
+        if more:
+            best = p
+        if x.semantic:
+            break
+    return best
 
 
 def votes(page: str) -> list[tuple[str, int]]:
-    """(path, share of SHARE) of the page's containers."""
-    nodes = scored(blocks(page))
-    total = sum(n.score for n in nodes)
-    by: dict[str, float] = {}
-    for n in nodes:
-        by[n.path()] = by.get(n.path(), 0.0) + n.score
-    return [(p, round(SHARE * s / total)) for p, s in sorted(by.items())] if total else []
+    """(path, SHARE) of the page's choice, nothing without one."""
+    path = chosen(blocks(page))
+    return [] if path is None else [(path, SHARE)]
 
 
 def extract(page: str, path: str | None) -> str:
-    """The blocks below the elements on `path`, or, if there are none, below the page's best container; all
-    blocks if it has no container."""
+    """The blocks below the elements on `path`, or, if there are none, below those on the page's own choice; all
+    blocks if it has none."""
     found = blocks(page)
-    known: dict[int, bool] = {}
-
-    def below(n: Node | None, hit) -> bool:
-        if n is None or n.parent is None:
-            return False
-        if id(n) not in known:
-            known[id(n)] = hit(n) or below(n.parent, hit)
-        return known[id(n)]
-
-    if path is not None:
-        lines = [line for n, line, _ in found if below(n, lambda x: x.tag in CONTAINER and x.path() == path)]
-        if lines:
-            return "\n\n".join(lines)
-    best = scored(found)[:1]
-    known.clear()
-    return "\n\n".join(line for n, line, _ in found if not best or below(n, lambda x: x is best[0]))
+
+    def on(path: str) -> list[str]:
+        known: dict[int, bool] = {}
+
+        def below(n: Node | None) -> bool:
+            if n is None or n.parent is None:
+                return False
+            if id(n) not in known:
+                known[id(n)] = (n.tag in CONTAINER and n.path() == path) or below(n.parent)
+            return known[id(n)]
+
+        return [line for n, line, _ in found if below(n)]
+
+    lines = on(path) if path is not None else []
+    if not lines:
+        own = chosen(found)
+        lines = [line for _, line, _ in found] if own is None else on(own)
+    return "\n\n".join(lines)
 
 
 def host_of(url: Column) -> Column:

@@ -429,6 +429,22 @@ def test_html_brute():
         assert html_consensus.extract(h, "html/body/article") == "\n\n".join(p for p in want if p)
 
 
+def test_html_split_articles():
+    text = lambda c, n: (c * 9 + " ") * (n // 10)
+    want = lambda *parts: "\n\n".join(p.strip() for p in parts)
+    one, two, lead = text("a", 800), text("b", 500), text("c", 60)
+    extract = lambda h: html_consensus.extract(h, html_consensus.votes(h)[0][0])
+    for inner in (f'<div class="a"><p>{one}</div><div class="b"><p>{two}</div>', f'<div class="a"><div class="x"><p>{one}</div></div><div class="b"><p>{two}</div>'):
+        page = f'<body><nav>menu</nav><div class="content">{inner}</div><ul><li><a href=x>{lead}</a></ul><footer>foot</footer></body>'
+        assert html_consensus.votes(page) == [("body/div.content", html_consensus.SHARE)] and extract(page) == want(one, two)
+    for outer in ("article", 'div class="post"'):
+        page = f'<body><{outer}><div class="entry"><p>{lead}</p><section><p>{one}</section><section><p>{two}</section><section><p>{one}</section></div></{outer.split()[0]}></body>'
+        assert extract(page) == want(lead, one, two, one)
+    assert extract(f'<body><article><h1>T</h1><div><p>{one}</div><div><p>{lead}</div></article></body>') == want("T", one, lead)
+    assert extract(f'<body><div class="p"><p>{one}</div><div class="p"><p>{two}</div><div class="list"><p><a href=x>{lead}</a></div></body>') == want(one, two)
+    assert extract(f'<body><div class="page"><div class="links"><p><a href=x>{lead}</a></div><div class="text"><p>{one}</div></div></body>') == want(one)
+
+
 # ---- all together
 
 
