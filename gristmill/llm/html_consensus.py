@@ -26,10 +26,10 @@ ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content isn't markup, or isn't shown.
-RAW = frozenset("script style noscript template title textarea svg math iframe object select canvas audio video noframes xmp".split())
+RAW = frozenset("script style noscript template title textarea svg iframe object select canvas audio video noframes xmp annotation annotation-xml".split())
 #: Never part of an article.
-APART = frozenset("nav header footer aside form button menu dialog fieldset label head".split())
-BLOCK = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | APART
+APART = frozenset("nav header footer aside button menu dialog fieldset label head".split())
+BLOCK = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul form".split()) | APART
 CONTAINER = frozenset("article main section div td body blockquote center".split())
 #: Class, id or role words of what isn't the article.
 AWAY = re.compile(
@@ -38,6 +38,13 @@ AWAY = re.compile(
     r"|comments?|commentlist|disqus|discussion|replies|respond|reviews?|related|recommend\w*|share|sharing|social|follow|tags|hidden|skip|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+#: Those of them that name what readers and other pages say, and notices: an element with one is let in only if it holds main or an h1.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|login|comments?|commentlist|disqus|discussion|replies|respond|reviews?|related|recommend\w*|tags|outbrain|taboola)(?=$|[\s_-])", re.I)
+#: Ids of sections that aren't anchors of an article's parts.
+NO_ANCHOR = re.compile(r"comments?(?:[_-](?:list|section|area))?|commentlist|disqus(?:_thread)?|respond|related(?:[_-](?:posts|articles|content))?|recommended|newsletter|sidebar|navigation|nav|header|footer", re.I)
+HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Text that stays elsewhere is at most a fifth of that in an element that is let in.
+REST = 5
 #: Elements that a new one of the same group closes.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 SHARE = 1_000_000
@@ -46,12 +53,17 @@ NEARLY = 0.9
 
 
 class Node:
-    __slots__ = ("tag", "step", "parent", "away", "semantic", "depth", "_path")
+    __slots__ = ("tag", "step", "parent", "away", "semantic", "depth", "_path", "doubt", "others", "doubted", "main", "h1", "article", "held")
 
     def __init__(self, tag: str, step: str, parent: Node | None, away: bool, semantic: bool):
         self.tag, self.step, self.parent, self.away, self.semantic = tag, step, parent, away, semantic
         self.depth = parent.depth + 1 if parent else 0
         self._path: str | None = None
+        #: The element itself is named like what isn't the article, or like OTHERS; the innermost one around or at it.
+        self.doubt, self.others = False, False
+        self.doubted: Node | None = parent.doubted if parent else None
+        #: What a doubted element holds.
+        self.main, self.h1, self.article, self.held = False, False, 0, 0
 
     def path(self) -> str:
         if self._path is None:
@@ -60,13 +72,52 @@ class Node:
         return self._path
 
 
+def above(n: Node | None) -> Iterator[Node]:
+    """The doubted elements around n, inner ones first."""
+    n = n.doubted if n is not None else None
+    while n is not None:
+        yield n
+        n = n.parent.doubted if n.parent is not None else None
+
+
+def let_in(doubts: list[Node], pieces: list[tuple[Node, int]]) -> None:
+    """Lifts the doubt from elements that hold the article: one that holds main; one whose text, or whose articles'
+    text, outweighs what stays outside of doubted ones. pieces: (innermost element, characters outside links)."""
+    for x in [x for x in doubts if x.main]:
+        x.doubt = False
+    while True:
+        rest, open_ = 0, {}
+        for x in doubts:
+            x.held = x.article = 0
+        for n, size in pieces:
+            around = [x for x in above(n) if x.doubt]
+            if not around:
+                rest += size
+                continue
+            top = around[-1]
+            top.held += size
+            open_[id(top)] = top
+            up = n
+            while up is not top and not up.semantic:
+                up = up.parent
+            if up.semantic:
+                top.article += size
+        fit = [x for x in open_.values() if (x.h1 or not x.others) and (x.held > REST * rest or x.article > rest)]
+        if not fit:
+            return
+        max(fit, key=lambda x: x.held).doubt = False
+
+
 def blocks(page: str) -> list[tuple[Node, str, int]]:
     """The text blocks of a page in order: (innermost block element, text, characters inside links). Blocks in
-    elements that stand apart are left out."""
+    elements that stand apart are left out, also those in elements with AWAY names unless they hold the article or
+    nothing else is left."""
     root = Node("", "", None, False, False)
-    stack, out = [root], []
-    text: list[str] = []
-    linked = 0
+    stack = [root]
+    doubts: list[Node] = []
+    #: Pieces (text, innermost element, whether in a link) of each block.
+    raw: list[tuple[Node, list[tuple[str, Node, bool]]]] = []
+    text: list[tuple[str, Node, bool]] = []
     in_link = 0
 
     def block_of() -> Node:
@@ -76,13 +127,9 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         return root
 
     def flush() -> None:
-        nonlocal linked
         if text:
-            line = " ".join(entities.unescape("".join(text)).split())
+            raw.append((block_of(), text.copy()))
             text.clear()
-            if line and not stack[-1].away:
-                out.append((block_of(), line, linked))
-        linked = 0
 
     def pop(to: int) -> None:
         nonlocal in_link
@@ -92,11 +139,8 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         del stack[to:]
 
     def say(s: str) -> None:
-        nonlocal linked
         if s and not stack[-1].away:
-            text.append(s)
-            if in_link:
-                linked += len(s)
+            text.append((s, stack[-1], in_link > 0))
 
     at, end = 0, len(page)
     while at < end:
@@ -125,7 +169,7 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             flush() if name == "hr" else say(" ") if name == "br" else None
             continue
         if name in RAW:
-            if name in ("svg", "math", "object", "select", "audio", "video", "canvas", "noscript", "template") and attrs.rstrip().endswith("/"):
+            if name in ("svg", "object", "select", "audio", "video", "canvas", "noscript", "template") and attrs.rstrip().endswith("/"):
                 continue
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else end
@@ -143,28 +187,49 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                     if stack[i].tag in shut:
                         pop(i)
                         break
-        words, semantic, gone = "", name in ("article", "main"), name in APART
+        words, semantic, gone, main = "", name in ("article", "main"), name in APART, name == "main"
         step = name
         if attrs and name not in ("a", "b", "i", "em", "strong", "span", "html", "body"):
             for a in ATTR.finditer(attrs):
                 key, value = a[1].lower(), (a[2] or "").strip("\"'")
                 if key == "class":
                     step = ".".join([name, *sorted({re.sub(r"\d+", "#", c) for c in value.split()})])
-                if key in ("class", "id", "role"):
+                anchor = key == "id" and (name in HEADING or (name == "section" or "section" in step.split(".")) and not NO_ANCHOR.fullmatch(value))
+                if key in ("class", "id", "role") and not anchor:
                     words += " " + value
+                main = main or key == "role" and value.lower() == "main"
                 if key == "role" and value.lower() in ("main", "article") or key == "itemprop" and value.lower() == "articlebody":
                     semantic = True
                 if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                     gone = True
             words = re.sub(r"(?i)(?<!\S)(?:has|with|without|no)[-_]\S+", "", words)  # say what the page has, not what this is
-            gone = gone or (bool(words) and not semantic and bool(AWAY.search(words)))
         parent = stack[-1]
-        stack.append(Node(name, step, parent, parent.away or gone, semantic))
+        now = Node(name, step, parent, parent.away or gone, semantic)
+        if not now.away:
+            if main or name == "h1":
+                for x in above(parent):
+                    x.main, x.h1 = x.main or main, x.h1 or name == "h1"
+            if name == "form" or words and not semantic and AWAY.search(words):
+                now.doubt, now.others, now.doubted = True, bool(OTHERS.search(words)), now
+                doubts.append(now)
+        stack.append(now)
         in_link += name == "a"
         if attrs.endswith("/") and name not in BLOCK:
             pop(len(stack) - 1)
     flush()
-    return out
+    if doubts:
+        let_in(doubts, [(n, len(s.strip())) for _, pieces in raw for s, n, linked in pieces if not linked])
+
+    def lines(every: bool) -> list[tuple[Node, str, int]]:
+        out = []
+        for node, pieces in raw:
+            left = pieces if every or not doubts else [x for x in pieces if not any(d.doubt for d in above(x[1]))]
+            line = " ".join(entities.unescape("".join(s for s, _, _ in left)).split())
+            if line:
+                out.append((node, line, sum(len(s) for s, _, linked in left if linked)))
+        return out
+
+    return lines(False) or (lines(True) if doubts else [])
 
 
 def chosen(found: list[tuple[Node, str, int]]) -> str | None:

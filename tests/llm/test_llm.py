@@ -445,6 +445,29 @@ def test_html_split_articles():
     assert extract(f'<body><div class="page"><div class="links"><p><a href=x>{lead}</a></div><div class="text"><p>{one}</div></div></body>') == want(one)
 
 
+def test_html_names():
+    body = " ".join(["some words of the article"] * 40)
+    extract = lambda h: html_consensus.extract(h, None)
+    rest = '<div class="sidebar"><p>side text</p></div><div class="comments"><p>a reader says this</p></div>'
+    for name in ("page sidebar-left", "container header-fixed", "wrap menu-open"):
+        for tag in ("div", "article"):
+            assert extract(f'<body class="x"><div class="{name}"><{tag} class="text"><p>{body}</p></{tag}>{rest}</div></body>') == body
+        assert extract(f'<body><div class="header"><p>the site</p></div><div class="{name}"><div class="text"><p>{body}</p></div></div></body>') == body
+    assert extract(f'<body><form id="f"><div class="text"><p>{body}</p></div></form></body>') == body
+    assert extract(f'<body><div class="post comments-open"><h1>T</h1><p>{body}</p>{rest}</div></body>') == f"T\n\n{body}"
+    assert extract(f'<body><div class="cookies"><main><p>{body}</p></main></div></body>') == body
+    for anchor in ("discussion", "related-work", "search", "comments"):
+        head = f'<h2 id="{anchor}">Part</h2><p>{body}</p>'
+        assert extract(f"<body><article><p>{body}</p>{head}</article></body>") == f"{body}\n\nPart\n\n{body}"
+        if anchor != "comments":
+            assert extract(f'<body><article><p>{body}</p><section id="{anchor}">{head}</section></article></body>') == f"{body}\n\nPart\n\n{body}"
+    assert extract("<body><article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article></body>") == "so x=1 holds"
+    assert extract('<body><div class="comments"><p>only this</p></div></body>') == "only this"
+    long = " ".join(["readers say a lot"] * 300)
+    assert extract(f'<body><div class="text"><p>{body}</p></div><div class="comments"><article><p>{long}</p></article></div></body>') == body
+    assert extract(f'<body><div class="text"><p>short one</p></div><div class="cookie-notice"><p>{body}</p></div><aside>x</aside></body>') == "short one"
+
+
 # ---- all together
 
 
