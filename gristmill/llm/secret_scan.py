@@ -30,9 +30,14 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?:\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*))?")
+#: A line break, also one that is escaped once or more, with the indentation after it.
+BREAK = r"(?:(?:\\+r)?\\+n|\r?\n)[\x20\t]*"
 #: Runs of either base64 alphabet, wrapped lines included, padding kept.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}")
-HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff])(?:[0-9A-Fa-f]{2}){23,}")
+BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{40,}}(?:{BREAK}[A-Za-z0-9+/_-]{{2,}})*={{0,2}}")
+SPACE = re.compile(BREAK)
+HEXRUN = re.compile(r"[0-9A-Fa-f]{48,}")
+#: Where keys, armour and tokens can start in decoded bytes.
+MARK = re.compile(rb"\x30(?=[\x18-\x7f\x81-\x84])|openssh-key-v1\0|-----BEGIN |(?<![A-Za-z0-9_-])e[wy](?=[A-Za-z0-9_-]{8,}\.)")
 OPENSSH = b"openssh-key-v1\0"
 
 
@@ -148,6 +153,8 @@ def signed_token(m: re.Match) -> int:
 
 
 def pem_key(label: str, body: str) -> bool:
+    body = re.sub(r"\\+n", "\n", re.sub(r"\\+r", "", body)).replace("\\/", "/")  # escaped, as in JSON and source
+    body = re.sub(r"""["'][\x20\t]*[+.,\\]?\s*["']""", "", body)  # strings of source, joined
     head, _, rest = body.strip().replace("\r", "").partition("\n\n")
     if "Proc-Type:" in head:  # encrypted the old way: whole cipher blocks
         data = unbase64(rest)
@@ -167,32 +174,80 @@ def method_spans(text: str) -> list[tuple[str, int, int]]:
     blocks = [(a, b) for k, a, b in found if k == "pem"]
     for m in BASE64.finditer(text):
         a, b = m.span()
-        if any(x <= a and b <= y for x, y in blocks):
-            continue
-        raw = m[0]
-        if raw[0] not in "MbL":  # a DER sequence, "openssh" or "-----" starts with one of these
-            continue
-        data = unbase64(raw)
-        n = der_key(data) or openssh_key(data)
-        kind = "openssh" if data.startswith(OPENSSH) else "der"
-        if not n and data.startswith(b"-----BEGIN"):  # an armoured key that was encoded once more
-            inner = PEM.search(data.decode("latin-1"))
-            n, kind = (len(data) if inner and pem_key(inner[1], inner[2]) else 0), "pem"
-        if n:
-            need, seen = -(-n * 4 // 3), 0
-            for i, c in enumerate(raw):
-                seen += c not in "\r\n"
-                if seen == need:
-                    break
-            rest = re.match(r"={0,2}", raw[i + 1 :])
-            found.append((kind, a, a + i + 1 + rest.end()))
+        if not any(x <= a and b <= y for x, y in blocks):
+            found += base64_spans(m[0], a)
     for m in HEXRUN.finditer(text):
-        data = bytes.fromhex(m[0])
-        if n := der_key(data) or openssh_key(data):
-            found.append(("openssh" if data.startswith(OPENSSH) else "der", m.start(), m.start() + 2 * n))
+        a, b = m.span()
+        hits: list[tuple[str, int, int]] = []
+        for odd in (0, 1):
+            data = bytes.fromhex(m[0][odd : odd + (len(m[0]) - odd) // 2 * 2])
+            hits += [(k, a + odd + 2 * x, a + odd + 2 * y) for k, x, y in held(data)]
+        found += apart(hits)
     return found
 
 
+def held(data: bytes) -> list[tuple[str, int, int]]:
+    """What secrets the bytes hold, wherever they start: (kind, start, end)."""
+    out: list[tuple[str, int, int]] = []
+    end, plain = 0, ""
+    for m in MARK.finditer(data):
+        at = m.start()
+        if at < end:
+            continue
+        if m[0] == b"\x30":
+            top = tlv(data, at, len(data))
+            n, kind = der_key(data[at : top[2]]) if top and data[top[1] : top[1] + 1] in (b"\2", b"\x30") else 0, "der"
+        elif m[0] == OPENSSH:
+            n, kind = openssh_key(data[at:]), "openssh"
+        else:
+            plain = plain or data.decode("latin-1")
+            if m[0][:1] == b"-":
+                x = PEM.match(plain, at)
+                n, kind = x.end() - at if x and pem_key(x[1], x[2]) else 0, "pem"
+            else:
+                x = TOKEN.match(plain, at)
+                n, kind = x.end(parts) - at if x and (parts := signed_token(x)) else 0, "jwt"
+        if n:
+            end = at + n
+            out.append((kind, at, end))
+    return out
+
+
+def apart(hits: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those that don't overlap, the longest first."""
+    out: list[tuple[str, int, int]] = []
+    for k, a, b in sorted(hits, key=lambda x: (x[1] - x[2], x[1])):
+        if all(b <= x or y <= a for _, x, y in out):
+            out.append((k, a, b))
+    return out
+
+
+def base64_spans(raw: str, start: int) -> list[tuple[str, int, int]]:
+    """The secrets in a run of base64 that begins at `start`, from whichever letter they are encoded. Encoded
+    armour and tokens reach to the ends of the run, as the text around them was encoded with them."""
+    lines, at = [], 0
+    body = raw.rstrip("=")
+    for m in SPACE.finditer(body):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, len(body)))
+    letters = "".join(body[a:b] for a, b in lines)
+    hits = []
+    for skip in range(4):
+        for k, x, y in held(unbase64(letters[skip:])):
+            hits.append((k, 0, len(letters)) if k in ("pem", "jwt") else (k, skip + x * 4 // 3, min(len(letters), skip - (-y * 4 // 3))))
+
+    def place(n: int) -> int:
+        """Where letter n stands in the run."""
+        for a, b in lines:
+            if n < b - a:
+                return a + n
+            n -= b - a
+        return len(body)
+
+    return [(k, start + place(x), start + (len(raw) if y == len(letters) else place(y - 1) + 1)) for k, x, y in apart(hits)]
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All spans by start, then kind in the order of KINDS, then end."""
     return sorted(base_spans(text) + method_spans(text), key=lambda x: (x[1], _ORDER[x[0]], x[2]))

@@ -73,6 +73,35 @@ def test_secret_structures():
         assert secret_scan.method_spans(f"see {t} there") == []
 
 
+def test_secret_forms():
+    key, b64 = rsa(), lambda b: base64.b64encode(b).decode()
+    lines = lambda s: [s[i : i + 64] for i in range(0, len(s), 64)]
+    pem = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines(b64(key)), "-----END PRIVATE KEY-----", ""])
+    whole = pem.strip()
+    joined = pem.replace("\n", '\\n" +\n    "').removesuffix('\\n" +\n    "')
+    for t in (whole.replace("\n", "\\n"), whole.replace("\n", "\\r\\n"), whole.replace("\n", "\\\\n"), whole.replace("/", "\\/").replace("\n", "\\n"), joined):
+        assert secret_scan.method_spans(f'{{"key": "{t}\\n"}}') == [("pem", 9, 9 + len(t))], t[:60]
+        assert b64(key)[:40] not in secret_scan.redact(f'{{"key": "{t}\\n"}}')
+    inner = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, bytes(26)))
+    short = next(k for n in range(16, 400) if len(b64(k := der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, bytes(n)))).rstrip("=")) % 64 in (2, 3))
+    for k in (key, inner, short):
+        for sep in ("\n", "\r\n", "\n    ", "\n\t", "\\n", "\\r\\n"):
+            t = sep.join(lines(b64(k)))
+            assert secret_scan.method_spans(f"see {t} there") == [("der", 4, 4 + len(t))], (sep, len(k))
+        for before in ("path/", "a/", "ab/", "abc/", "abcd", "\\n", "x" * 41):
+            found = secret_scan.method_spans(f"see {before}{b64(k)} there")
+            assert found == [("der", 4 + len(before), 4 + len(before) + len(b64(k)))], (before, len(k))
+        assert secret_scan.method_spans(f"see abc{k.hex()} there") == [("der", 7, 7 + 2 * len(k))]
+    url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    jwt = ".".join([url(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()), url(b'{"sub":1}'), url(b"s" * 32)])
+    for kind, plain in (("jwt", jwt), ("pem", whole), ("pem", json.dumps({"type": "service_account", "private_key": pem}))):
+        t = b64(plain.encode())
+        assert secret_scan.method_spans(f"see {t} there") == [(kind, 4, 4 + len(t))], plain[:40]
+    assert secret_scan.method_spans(f"see {jwt.encode().hex()} there") == [("jwt", 4, 4 + 2 * len(jwt))]
+    for t in (b64(random.Random(2).randbytes(20000)), b64(der(0x30, der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(3, bytes(200)))), "\\n".join(lines(b64(key[:-9])))):
+        assert secret_scan.method_spans(f"see {t} there") == []
+
+
 def test_secret_base(real):
     def brute(t):
         kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
