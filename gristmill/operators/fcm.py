@@ -10,17 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _distance(x: Column, centroid: list[float]) -> Column:
-    return sum((F.pow(x[l] - F.lit(c), 2) for l, c in enumerate(centroid)), F.lit(0.0))
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def memberships(x: Column, centroids: list[list[float]], m: float) -> Column:
-    """array<double>: the point's memberships; a point on a centroid belongs to it alone."""
-    dist = [_distance(x, c) for c in centroids]
-    zero = sum((F.when(d == 0, 1.0).otherwise(0.0) for d in dist), F.lit(0.0))
-    part = [F.when(d > 0, F.pow(d, F.lit(2 / (1 - m)))).otherwise(0.0) for d in dist]
-    total = sum(part, F.lit(0.0))
-    return F.array(*[F.when(zero > 0, F.when(d == 0, 1.0 / zero).otherwise(0.0)).otherwise(p / total) for d, p in zip(dist, part, strict=True)])
+    """array<double>: the point's memberships; a point on a centroid belongs to it alone. The plan's size doesn't
+    depend on the dimensions."""
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
+    dist = F.transform(F.array(*[F.lit(c) for c in centroids]), lambda c: add(F.zip_with(x, c, lambda a, b: (a - b) * (a - b))))
+
+    def rate(d: Column) -> Column:
+        part = F.transform(d, lambda v: F.when(v > 0, F.pow(v, F.lit(2 / (1 - m)))).otherwise(0.0))
+        own = F.size(F.filter(d, lambda v: v == 0))
+        alone = F.transform(d, lambda v: F.when(v == 0, 1.0 / own).otherwise(0.0))
+        return F.when(own > 0, alone).otherwise(_let(part, lambda p: _let(add(p), lambda t: F.transform(p, lambda v: v / t))))
+
+    return _let(dist, rate)
 
 
 def start(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -31,11 +38,11 @@ def start(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 
 def centroids(rated: DataFrame, d: int, k: int, m: float) -> list[list[float]]:
-    """k centroids by one aggregation; k * (d + 1) numbers come to the driver."""
-    weight = [F.pow(F.col("u")[j], F.lit(m)) for j in range(k)]
-    sums = [F.sum(weight[j]).alias(f"w{j}") for j in range(k)] + [F.sum(weight[j] * F.col("x")[l]).alias(f"s{j}_{l}") for j in range(k) for l in range(d)]
-    row = rated.agg(*sums).first()
-    return [[row[f"s{j}_{l}"] / row[f"w{j}"] for l in range(d)] for j in range(k)]
+    """k centroids by one aggregation by dimension; k * (d + 1) numbers come to the driver."""
+    weight = [F.pow(F.col("u")[j], F.lit(m)).alias(f"w{j}") for j in range(k)]
+    sums = [F.sum(F.col(f"w{j}") * F.col("v")).alias(f"s{j}") for j in range(k)] + [F.sum(f"w{j}").alias(f"n{j}") for j in range(k)]
+    rows = sorted(rated.select(*weight, F.posexplode("x").alias("l", "v")).filter(F.col("l") < d).groupBy("l").agg(*sums).collect())
+    return [[row[f"s{j}"] / row[f"n{j}"] for row in rows] for j in range(k)]
 
 
 def fuzzy_c_means(points: DataFrame, d: int, k: int, m: float = 2.0, eps: float = 1e-4, itermax: int = 20, rated: DataFrame | None = None, seed: int = 0) -> tuple[DataFrame, list[list[float]], list[dict]]:

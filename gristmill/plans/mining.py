@@ -195,8 +195,15 @@ def m07_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def m08_fuzzy_c_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x"))
-    rated, _, _ = fcm.fuzzy_c_means(points, d=8, k=4, m=2.0, itermax=8)
+    """The whole embeddings, until no membership moves by 1e-4."""
+    eps, most = 1e-4, 1000
+    points = load(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select(F.col("vec_id").alias("i"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    d, least = points.agg(F.max(F.size("x")), F.min(F.size("x"))).first()
+    if d != least:
+        raise ValueError(f"embeddings of {least} to {d} numbers")
+    rated, _, log = fcm.fuzzy_c_means(points, d=d, k=4, m=2.0, eps=eps, itermax=most)
+    if log[-1]["delta"] >= eps:
+        raise RuntimeError(f"memberships still move by {log[-1]['delta']} after {most} rounds")
     return rated.select("i", F.posexplode("u").alias("j", "val"))
 
 

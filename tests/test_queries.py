@@ -3,9 +3,12 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gristmill.operators import fcm
 from gristmill.plans.common import TABLES
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +42,20 @@ def test_oracle(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_fuzzy_c_means(spark):
+    """The query against numpy on whole embeddings, from the same start to the same end."""
+    raw = spark.read.parquet(f"{DATA}/embeddings.parquet").select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
+    begun = fcm.start(raw, 4).orderBy("i").collect()
+    x, u = np.array([r.x for r in begun], float), np.array([r.u for r in begun])
+    assert x.shape[1] == 64
+    for _ in range(1000):
+        w = u**2
+        c = (w.T @ x) / w.sum(0)[:, None]
+        p = ((x[:, None] - c) ** 2).sum(2) ** -2.0
+        u, before = p / p.sum(1, keepdims=True), u
+        if abs(u - before).max() < 1e-4:
+            break
+    got = {(r.i, r.j): r.val for r in entry.queries()["m08_fuzzy_c_means"](spark, DATA).collect()}
+    assert len(got) == u.size and np.allclose(u, [[got[r.i, j] for j in range(4)] for r in begun], atol=1e-6)
