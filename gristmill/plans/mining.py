@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import compat
 from gristmill.operators import fcm, graphs, itemsets, relational, series
 from gristmill.plans.common import load
+from gristmill.sources import readers
 
 QUERIES, SQL = {}, {}
 
@@ -178,6 +179,11 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_hour.select((F.row_number().over(Window.orderBy("h")) - 1).cast("long").alias("pos"), "value")
 
 
+def single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, value): all events in the order of (ts, event_id)."""
+    return readers._numbered(load(spark, sf_dir, "events").select(F.col("ts").alias("f"), F.col("event_id").alias("k"), F.col("value").cast("double").alias("value")))
+
+
 @register(f"""WITH s AS ({SERIES}), z AS (SELECT pos, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS x FROM s), last AS (SELECT max(pos) - 23 AS m FROM s),
     d AS (SELECT a.pos - k AS i, b.pos - k AS j, sum((a.x - b.x) * (a.x - b.x)) AS d FROM z a JOIN z b ON b.pos - a.pos >= 24 OR a.pos - b.pos >= 24, range(0, 24) r(k), last
       WHERE a.pos - k BETWEEN 0 AND m AND b.pos - k BETWEEN 0 AND m GROUP BY 1, 2),
@@ -188,9 +194,15 @@ def m06_discord(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def m07_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The day that warps best onto a fixed rising and falling shape."""
+    """The 24 events that warp best onto a fixed rising and falling shape."""
     shape = [float(min(k, 23 - k)) for k in range(24)]
-    return series.best_match(hourly(spark, sf_dir), shape, 0.1)
+    return series.best_match(single(spark, sf_dir), shape, 0.1)
+
+
+@register()
+def m09_event_discord(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """m06 over single events; a self-join in SQL would be too slow."""
+    return series.discord(single(spark, sf_dir), 24).select("pos", F.round("distance", 6).alias("distance"))
 
 
 @register()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gristmill.operators import fcm
+from gristmill.operators import fcm, series
 from gristmill.plans.common import TABLES
 
 DATA = "/root/testdata/sf0.001"
@@ -59,3 +59,18 @@ def test_fuzzy_c_means(spark):
             break
     got = {(r.i, r.j): r.val for r in entry.queries()["m08_fuzzy_c_means"](spark, DATA).collect()}
     assert len(got) == u.size and np.allclose(u, [[got[r.i, j] for j in range(4)] for r in begun], atol=1e-6)
+
+
+def test_event_series(spark, duck):
+    """The queries against numpy on all events."""
+    v = np.array([r[0] for r in duck.execute("SELECT value::DOUBLE FROM events ORDER BY ts, event_id").fetchall()])
+    assert len(v) == 1000
+    z = np.lib.stride_tricks.sliding_window_view((v - v.mean()) / v.std(ddof=1), 24)
+    at = np.arange(len(z))
+    nn = np.array([((z[abs(at - k) >= 24] - z[k]) ** 2).sum(1).min() for k in at])
+    got = entry.queries()["m09_event_discord"](spark, DATA).first()
+    assert got.pos == nn.argmax() and abs(got.distance - nn.max() ** 0.5) < 1e-5
+    q = series.znorm(np.array([min(k, 23 - k) for k in range(24)], float))
+    d = series.banded_dtw(q, series.znorm(np.lib.stride_tricks.sliding_window_view(v, 24)), 2)
+    got = entry.queries()["m07_best_match"](spark, DATA).first()
+    assert got.pos == d.argmin() and abs(got.distance - d.min() ** 0.5) < 1e-9
