@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,14 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_CHARS = 4_000_000
 
 
-#: Rows in a batch that goes to Python at most. Texts can be long, and a batch is held by the JVM and by Python.
-BATCH_ROWS = 1000
+#: Rows and bytes in a batch that goes to Python at most. Texts can be long, and the JVM and Python hold a batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(key).lower().removesuffix("b")
+        if not held.isdecimal() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,19 @@ def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str]]:
         yield part
 
 
+def batches(items: list, sizes: list[int], most: int) -> Iterator[list]:
+    """The items in order, in lists whose sizes add up to `most` at most; a larger one stands alone."""
+    part, held = [], 0
+    for x, n in zip(items, sizes, strict=True):
+        if part and held + n > most:
+            yield part
+            part, held = [], 0
+        part.append(x)
+        held += n
+    if part:
+        yield part
+
+
 def text_udf(fn: Callable[[], Callable[[list[str]], list]], kind: str, arrow: pa.DataType, limit: int = SLICE_CHARS):
     """An Arrow UDF over one string column. fn() is called once for each partition and returns the function
     that turns a list of texts into a list of results, so that automata and caches live as long as the task."""
@@ -68,16 +83,28 @@ def text_udf(fn: Callable[[], Callable[[list[str]], list]], kind: str, arrow: pa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The shared folder named by spark.checkpoint.dir, or the one that the context has been given. Only a local
+    session without either gets a temporary one; on a cluster other nodes couldn't read it, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and held.isDefined():
+        named = held.get()
     if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="checkpoint-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by Spark's file system of that path."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows behind a reliable checkpoint: lost executors cost no upstream work, and what was
     nondeterministic above, such as sampled range bounds, is now fixed."""
@@ -94,24 +121,48 @@ def global_rank(df: DataFrame, keys: list[str], order: list[Column], out: str) -
 
     Rows are range-partitioned by (key, order), so that a hot key spreads over many tasks, and checkpointed.
     A small table of rows per (partition, key), at most partitions + keys rows, gives each slice its offset;
-    within a slice a window numbers the rows. Ties in the order are numbered in any order, so give an order
-    that is total up to rows that are alike. Null keys are a key of their own.
-    """
-    spark = df.sparkSession
-    placed = df.repartitionByRange(shuffle_partitions(spark), *[F.col(k).asc_nulls_last() for k in keys], *order)
-    placed = cut(placed.withColumn("_part", F.spark_partition_id()))
-    from pyspark.sql import Window
-
-    held = placed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = held.select(F.col("_part").alias("_at"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    match = F.col("_part") == F.col("_at")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    within = Window.partitionBy("_part", *keys).orderBy(*order)
-    numbered = placed.withColumn("_in", F.row_number().over(within) - 1)
-    joined = numbered.join(starts, match).withColumn(out, (F.col("_in") + F.col("_before")).cast("long"))
-    return joined.select(*[c for c in df.columns if c != out], out)
+    within a slice a window numbers the rows. Ties in the order go by a hash of the row, so that reruns agree, and
+    rows that are alike by their place, so that any number of them spreads too. Null keys are a key of their own;
+    columns of any name pass through, but one named `out` is replaced."""
+    part, rows, place, alike, at, before, nth, *names = fresh(df, "_part", "_rows", "_place", "_alike", "_at", "_before", "_nth", *[f"_k{i}" for i in range(len(keys))])
+    plain = [F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant"))]
+    ties = [F.col(alike), F.col(place)]
+    placed = df.withColumns({alike: F.xxhash64(*plain), place: F.monotonically_increasing_id()})
+    placed = placed.repartitionByRange(shuffle_partitions(df.sparkSession), *[F.col(k).asc_nulls_last() for k in keys], *order, *ties)
+    placed = cut(placed.withColumn(part, F.spark_partition_id()))
+    held = placed.groupBy(part, *keys).agg(F.count(F.lit(1)).alias(rows))
+    above = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(F.col(part).alias(at), *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.coalesce(F.sum(rows).over(above), F.lit(0)).alias(before))
+    match = F.col(part) == F.col(at)
+    for k, n in zip(keys, names, strict=True):
+        match = match & F.col(k).eqNullSafe(F.col(n))
+    within = Window.partitionBy(part, *keys).orderBy(*order, *ties)
+    joined = placed.withColumn(nth, F.row_number().over(within) - 1).join(starts, match)
+    return joined.withColumn(out, (F.col(nth) + F.col(before)).cast("long")).select(*[f"`{c}`" for c in df.columns if c != out], out)
+
+
+#: A key is hot if more than one of HOT rows has it, so there are HOT of them at most.
+HOT = 10_000
+
+
+def look_up(df: DataFrame, key: str, found: DataFrame, hot: DataFrame, place: Column | None = None) -> DataFrame:
+    """df with the columns of found, (key, ...) with a row for each key: a left join in which no task gets many
+    rows of one key. hot: (key) of the hot ones, HOT rows at most. Their rows of `found` are broadcast; the rows of
+    df that they match, and those with a null key, which match nothing, don't go by their key but by their place.
+    `place` is a string or negative long that differs among those rows; without one df must stand behind a checkpoint
+    or a table, so that the rows' own places don't change when a task runs again. `found` must not share column names
+    with df except `key`; the key is a string or a long that isn't negative."""
+    columns = [c for c in found.columns if c != key]
+    k, hit, by, other, *held = fresh(df.select("*", *[F.lit(0).alias(c) for c in columns]), "_key", "_hit", "_by", "_other", *[f"_hot_{i}" for i in range(len(columns))])
+    first = found.join(F.broadcast(hot.select(key)), key, "left_semi").select(F.col(key).alias(k), F.lit(True).alias(hit), *[F.col(c).alias(h) for c, h in zip(columns, held, strict=True)])
+    if place is None:
+        place = -1 - F.monotonically_increasing_id()
+        place = place.cast("string") if dict(df.dtypes)[key] == "string" else place
+    told = df.join(F.broadcast(first), F.col(key) == F.col(k), "left").withColumn(by, F.when(F.col(hit) | F.col(key).isNull(), place).otherwise(F.col(key)))
+    rest = found.withColumnRenamed(key, other)
+    got = told.join(rest, F.col(by) == F.col(other), "left")
+    mixed = [F.when(F.col(hit), F.col(h)).otherwise(F.col(c)).alias(c) for c, h in zip(columns, held, strict=True)]
+    return got.select(*[F.col(f"`{c}`") for c in df.columns], *mixed)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
