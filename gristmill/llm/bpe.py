@@ -2,12 +2,15 @@
 
 Each task splits its texts into the pattern's pieces and asks DuckDB for the ids of those it hasn't met: a
 recursive query unfolds the pieces into a row for each token position, joins neighbours with the merge table and
-contracts each piece's leftmost pair of minimum rank, until no piece has a pair left. Decoding joins id positions with the
-vocabulary and aggregates bytes in order. Pieces are independent of each other, so each distinct piece is
-encoded and decoded once per task while it stays in the cache.
+contracts each piece's leftmost pair of minimum rank, until no piece has a pair left; only a piece's last state is
+kept. Long pieces are first cut where no token of the vocabulary spans, as no merge can cross there, and contract
+all pairs of minimum rank at once as long as that can't differ from doing it one after the other. Pieces are
+independent of each other, so each distinct piece is encoded once per worker while it stays in the cache. A text's
+ids are decoded by joining id positions with the vocabulary and aggregating bytes in order.
 
 Cases: a null or empty text has no ids and decodes to no bytes; a text or piece of any length is encoded whole;
-an id outside the vocabulary raises; columns named like the outputs are replaced.
+an id outside the vocabulary raises; equal texts have equal results; an empty table gives an empty result; columns
+named like the outputs are replaced, others are left alone whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-import tempfile
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,31 +26,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import fresh, slices, table, text_udf
+from gristmill.llm.common import batches, fresh, slices, table, text_udf
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces in one recursive query, rounds before the query is asked again, pieces in a task's cache.
-QUERY_BYTES, ROUNDS, CACHED = 1_000_000, 48, 400_000
-
-_STEP = f"""
-WITH RECURSIVE state(step, word, toks) AS (
-  SELECT 0, word, list(tok ORDER BY pos) FROM todo GROUP BY word
-  UNION ALL
+#: Bytes of pieces in one recursive query, pieces in a worker's cache, ids decoded by one query.
+QUERY_BYTES, CACHED, DECODED = 1_000_000, 400_000, 1_500_000
+#: Bytes from which a piece counts as long.
+LONG = 64
+#: Of a worker's DuckDB. It never spills to a local disk: what one query holds is bounded by the numbers above.
+MEMORY = "600MB"
+
+_STEP = """
+WITH RECURSIVE state(word, toks) USING KEY (word) AS (
+  SELECT word, toks FROM todo
+  UNION
   (WITH pairs AS (SELECT word, generate_subscripts(toks, 1) AS pos, unnest(toks) AS tok, unnest(toks[2:]) AS follow FROM state),
         best AS (SELECT word, min((merged::BIGINT << 32) | pos) AS pick
                  FROM pairs JOIN merges ON a = tok AND b = follow GROUP BY word)
-   SELECT step + 1, state.word, toks[:(pick & 4294967295) - 1] || [(pick >> 32)::INT] || toks[(pick & 4294967295) + 2:]
-   FROM state JOIN best ON state.word = best.word
-   WHERE step < {ROUNDS})
+   SELECT word, toks[:(pick & 4294967295) - 1] || [(pick >> 32)::INT] || toks[(pick & 4294967295) + 2:]
+   FROM state JOIN best USING (word))
 )
-SELECT state.* FROM state JOIN (SELECT word, max(step) AS last FROM state GROUP BY word) ends
-ON state.word = ends.word AND state.step = ends.last
+SELECT word, toks FROM state
 """
-_TEXTS = """
-SELECT word, array_to_string(toks, ' '), unhex(raw)
-FROM coded JOIN (SELECT word, string_agg(hex(v.tok), '' ORDER BY pos) AS raw
-                 FROM (SELECT word, generate_subscripts(toks, 1) AS pos, unnest(toks) AS id FROM coded) JOIN vocab v USING (id) GROUP BY word)
-USING (word)
+#: As _STEP, for long pieces. Of the positions with the minimum rank, those at odd places of each row of neighbours
+#: are contracted, up to the first whose new token would at once have a pair of lower rank with what stands beside it.
+_RUNS = """
+WITH RECURSIVE state(word, toks) USING KEY (word) AS (
+  SELECT word, toks FROM todo
+  UNION
+  (WITH pairs AS (SELECT word, generate_subscripts(toks, 1) AS pos, unnest(toks) AS tok, unnest(toks[2:]) AS follow, unnest(toks[3:]) AS beyond, unnest([NULL::INT] || toks[:-2]) AS before FROM state),
+        ranked AS (SELECT word, pos, before, beyond, merged FROM pairs JOIN merges ON a = tok AND b = follow),
+        least AS (SELECT word, min(merged) AS merged FROM ranked GROUP BY word),
+        met AS (SELECT ranked.*, pos - row_number() OVER (PARTITION BY word ORDER BY pos) AS run FROM ranked SEMI JOIN least USING (word, merged)),
+        odd AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1),
+        ends AS (SELECT word, min(pos) AS last FROM (
+            SELECT word, pos, odd.merged, m.merged AS next FROM odd JOIN merges m ON m.a = odd.merged AND m.b = beyond
+            UNION ALL SELECT word, pos, odd.merged, m.merged FROM odd JOIN merges m ON m.a = before AND m.b = odd.merged
+            UNION ALL SELECT word, pos, odd.merged, m.merged FROM odd JOIN merges m ON m.a = odd.merged AND m.b = odd.merged) WHERE next < merged GROUP BY word),
+        taken AS (SELECT word, pos, merged FROM odd LEFT JOIN ends USING (word) WHERE last IS NULL OR pos <= last)
+   SELECT p.word, list(coalesce(t.merged, p.tok) ORDER BY p.pos)
+   FROM pairs p SEMI JOIN least l ON l.word = p.word LEFT JOIN taken t ON t.word = p.word AND t.pos = p.pos ANTI JOIN taken u ON u.word = p.word AND u.pos = p.pos - 1
+   GROUP BY p.word)
+)
+SELECT word, toks FROM state
 """
 
 
@@ -59,7 +79,7 @@ def vocabulary(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """A DuckDB connection with the tables vocab(id, tok) and merges(a, b, merged)."""
+    """A DuckDB connection with the tables vocab(id, tok), its bytes as code points below 256, and merges(a, b, merged)."""
 
     def __init__(self, path: str):
         import duckdb
@@ -68,93 +88,86 @@ class Codec:
 
         self.ranks = vocabulary(path)
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         pairs = [(x, y, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (x := self.ranks.get(t[:i])) is not None and (y := self.ranks.get(t[i:])) is not None]
         a, b, merged = map(list, zip(*pairs, strict=True)) if pairs else ([], [], [])
-        rows = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "merged": pa.array(merged, pa.int32())})
-        self.con.register("given", rows)
-        self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.con.unregister("given")
-        words = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "tok": pa.array(self.ranks.keys(), pa.binary())})
-        self.con.register("given", words)
-        self.con.execute("CREATE TABLE vocab AS SELECT * FROM given")
-        self.con.unregister("given")
+        self._table("merges", a=pa.array(a, pa.int32()), b=pa.array(b, pa.int32()), merged=pa.array(merged, pa.int32()))
+        self._table("vocab", id=pa.array(self.ranks.values(), pa.int32()), tok=pa.array([t.decode("latin-1") for t in self.ranks], pa.string()))
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self._spans = None
 
-    def _code(self, pieces: list[bytes]) -> None:
-        """Leaves the ids of the pieces in the table coded(word, toks). A piece that is a token is that token."""
-        whole = [self.ranks.get(p) for p in pieces]
-        open_ = [i for i, r in enumerate(whole) if r is None]
-        self.con.execute("CREATE OR REPLACE TEMP TABLE coded(word INT, toks INT[])")
-        done = pa.table({"word": pa.array([i for i, r in enumerate(whole) if r is not None], pa.int32()), "tok": pa.array([r for r in whole if r is not None], pa.int32())})
-        self.con.register("given", done)
-        self.con.execute("INSERT INTO coded SELECT word, [tok] FROM given")
+    def _table(self, name: str, **columns: pa.Array) -> None:
+        self.con.register("given", pa.table(columns))
+        self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
-        if not open_:
-            return
-        size = np.array([len(pieces[i]) for i in open_], np.int64)
-        starts = np.concatenate([[0], np.cumsum(size)])
-        word = np.repeat(np.array(open_, np.int32), size)
-        pos = (np.arange(starts[-1]) - np.repeat(starts[:-1], size)).astype(np.int32)
-        todo = pa.table({"word": pa.array(word), "pos": pa.array(pos), "tok": pa.array(self.byte[np.frombuffer(b"".join([pieces[i] for i in open_]), np.uint8)])})
-        while len(todo):
-            self.con.register("todo", todo)
-            self.con.execute("CREATE OR REPLACE TEMP TABLE reached AS " + _STEP)
-            self.con.unregister("todo")
-            self.con.execute(f"INSERT INTO coded SELECT word, toks FROM reached WHERE step < {ROUNDS}")
-            # the rest may have pairs left
-            todo = self.con.sql(f"SELECT word, generate_subscripts(toks, 1)::INT AS pos, unnest(toks) AS tok FROM reached WHERE step >= {ROUNDS}").to_arrow_table()
-
-    def _parts(self, pieces: list[bytes]) -> Iterator[slice]:
-        a, held = 0, 0
-        for i, p in enumerate(pieces):
-            if i > a and held + len(p) > QUERY_BYTES:
-                yield slice(a, i)
-                a, held = i, 0
-            held += len(p)
-        if pieces:
-            yield slice(a, len(pieces))
+
+    def cuts(self, piece: bytes) -> np.ndarray:
+        """Where a piece can be cut: the offsets, 0 and the end included, that no token in it spans."""
+        if self._spans is None:
+            import ahocorasick
+
+            self._spans = ahocorasick.Automaton()
+            for t in self.ranks:
+                if len(t) > 1:
+                    self._spans.add_word(t.decode("latin-1"), len(t))
+            self._spans.make_automaton()
+        change = np.zeros(len(piece) + 2, np.int64)
+        for end, n in self._spans.iter(piece.decode("latin-1")):
+            change[end - n + 2] += 1
+            change[end + 1] -= 1
+        return np.flatnonzero(np.cumsum(change)[: len(piece) + 1] == 0)
+
+    def _contracted(self, parts: list[bytes], query: str) -> Iterator[tuple[int, list[int]]]:
+        """(number, ids) of each part, in any order."""
+        ends = np.concatenate([[0], np.cumsum(list(map(len, parts)))]).astype(np.int32)
+        toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte[np.frombuffer(b"".join(parts), np.uint8)]))
+        todo = pa.table({"word": np.arange(len(parts), dtype=np.int32), "toks": toks})
+        self.con.register("todo", todo)
+        yield from self.con.execute(query).fetchall()
+        self.con.unregister("todo")
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece."""
-        out: list = [[] for _ in pieces]
-        for part in self._parts(pieces):
-            self._code(pieces[part])
-            for word, toks in self.con.execute("SELECT word, toks FROM coded").fetchall():
-                out[part.start + word] = toks
+        """The ids of each piece. A piece that is a token is that token."""
+        out: list = [[r] if (r := self.ranks.get(p)) is not None else None for p in pieces]
+        short = [i for i, ids in enumerate(out) if ids is None and len(pieces[i]) <= LONG]
+        for part in batches(short, [len(pieces[i]) for i in short], QUERY_BYTES):
+            for k, ids in self._contracted([pieces[i] for i in part], _STEP):
+                out[part[k]] = ids
+        for i, p in enumerate(pieces):
+            if out[i] is None:
+                at = self.cuts(p).tolist()
+                out[i] = list(itertools.chain.from_iterable(self._segments([p[a:b] for a, b in itertools.pairwise(at)])))
         return out
 
-    def round_trip(self, pieces: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
-        """(number, ids as decimal text, bytes that the ids decode to) of each piece, in any order."""
-        for part in self._parts(pieces):
-            self._code(pieces[part])
-            for word, ids, raw in self.con.execute(_TEXTS).fetchall():
-                yield part.start + word, ids, raw
-
-    def decode(self, rows: list[list[int]]) -> list[bytes]:
-        """The bytes of each row of ids, by an aggregation in the order of positions."""
-        n = np.array([len(r) for r in rows], np.int64)
-        ids = np.fromiter(itertools.chain.from_iterable(rows), np.int32, int(n.sum()))
-        given = pa.table({"row": np.repeat(np.arange(len(rows), dtype=np.int32), n), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})
+    def _segments(self, parts: list[bytes]) -> list[list[int]]:
+        new = list(dict.fromkeys(parts))
+        known: dict[bytes, list[int]] = {}
+        for part in batches(new, list(map(len, new)), QUERY_BYTES):
+            known |= {part[k]: ids for k, ids in self._contracted(part, _RUNS)}
+        return [known[p] for p in parts]
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of consecutive rows of ids, `sizes` of them each, by an aggregation in the order of positions."""
+        given = pa.table({"row": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})
         self.con.register("given", given)
-        got = self.con.execute("SELECT row, count(*) AS n, count(tok) AS known, string_agg(hex(tok), '' ORDER BY pos) AS raw FROM given LEFT JOIN vocab USING (id) GROUP BY row").fetchall()
+        got = self.con.execute("SELECT row, count(*) = count(tok) AS known, string_agg(tok, '' ORDER BY pos) AS raw FROM given LEFT JOIN vocab USING (id) GROUP BY row").fetchall()
         self.con.unregister("given")
-        out = [b""] * len(rows)
-        for row, k, known, raw in got:
-            if k != known:
+        out = [b""] * len(sizes)
+        for row, known, raw in got:
+            if not known:
                 raise ValueError("an id is outside the vocabulary")
-            out[row] = bytes.fromhex(raw)
+            out[row] = raw.encode("latin-1")
         return out
 
 
 class Words:
-    """What a Python worker knows of pieces: ids (as decimal text) and decoded bytes. Emptied when full."""
+    """What a Python worker knows of pieces: their ids as decimal text. Emptied when full."""
 
     def __init__(self, path: str):
         self.codec, self.known = Codec(path), {}
 
-    def look_up(self, texts: list[str]) -> list[list[tuple[str, bytes]]]:
-        """(ids as text, decoded bytes) of the pieces of each text, in order."""
+    def encode(self, texts: list[str]) -> list[str]:
+        """The ids of each text, with spaces between."""
         if len(self.known) > CACHED:
             self.known = {}
         known = self.known
@@ -162,16 +175,20 @@ class Words:
         found = [list(map(known.get, p)) for p in pieces]
         open_ = [k for k, f in enumerate(found) if None in f]
         new = list({p for k in open_ for p, f in zip(pieces[k], found[k], strict=True) if f is None})
-        for i, ids, raw in self.codec.round_trip([p.encode("utf-8", "replace") for p in new]):
-            known[new[i]] = (ids, raw)
+        for p, ids in zip(new, self.codec.encode_pieces([p.encode("utf-8", "replace") for p in new]), strict=True):
+            known[p] = " ".join(map(str, ids))
         for k in open_:
             found[k] = [known[p] if f is None else f for p, f in zip(pieces[k], found[k], strict=True)]
-        return found
-
+        for p in new:
+            if len(p) > 4 * LONG:  # rarely met again, and not to be held
+                del known[p]
+        return list(map(" ".join, found))
 
-def joined(found: list[tuple[str, bytes]]) -> tuple[bytes, bytes]:
-    """A text's ids, with spaces between, and its decoded bytes."""
-    return " ".join([f[0] for f in found]).encode(), b"".join([f[1] for f in found])
+    def decode(self, told: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
+        """(ids, bytes they decode to) of each row of ids."""
+        for part in batches(told, [t.count(" ") + 1 for t in told], DECODED):
+            ids = [np.fromstring(t, np.int32, sep=" ") if t else np.zeros(0, np.int32) for t in part]
+            yield from zip(ids, self.codec.decode(np.concatenate(ids), np.array(list(map(len, ids)))), strict=True)
 
 
 @cache
@@ -192,7 +209,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
 
     def worker():
         words = words_of(path)
-        return lambda texts: [list(map(int, joined(found)[0].split())) for found in words.look_up(texts)]
+        return lambda texts: [list(map(int, told.split())) for told in words.encode(texts)]
 
     return df.withColumn(out, text_udf(worker, "array<int>", pa.list_(pa.int32()), 1_000_000)(F.col(text)))
 
@@ -204,14 +221,11 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = words_of(path).codec
         for batch in it:
-            rows, part, held = [], [], 0
-            for x in batch.to_pylist():
-                part.append(x or [])
-                held += len(part[-1])
-                if held > 500_000:
-                    rows += codec.decode(part)
-                    part, held = [], 0
-            yield pa.array(rows + (codec.decode(part) if part else []), type=pa.binary())
+            out: list[bytes] = []
+            rows = [np.array(x or [], np.int64).astype(np.int32) for x in batch.to_pylist()]
+            for part in batches(rows, list(map(len, rows)), DECODED):
+                out += codec.decode(np.concatenate(part), np.array(list(map(len, part))))
+            yield pa.array(out, type=pa.binary())
 
     return df.withColumn(out, F.arrow_udf(run, "binary")(F.col(ids)))
 
@@ -220,19 +234,21 @@ _DIGEST = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("de
 
 
 def round_trip(df: DataFrame, text: str = "text", out: str = "bpe", keep_text: bool = False, path: str | None = None) -> DataFrame:
-    """df with `out`: struct<n_tokens, ids_sha256, decoded_sha256, decoded> of each text, encoded and decoded
-    piece by piece; `decoded` is the decoded text if keep_text, else null."""
+    """df with `out`: struct<n_tokens, ids_sha256, decoded_sha256, decoded> of each text, whose ids are decoded
+    again; `decoded` is the decoded text if keep_text, else null."""
     path = path or default_path()
 
     def worker():
         words = words_of(path)
 
-        def digest(found):
-            ids, raw = joined(found)
-            n = ids.count(b" ") + 1 if ids else 0
-            return {"n_tokens": n, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(raw).hexdigest(), "decoded": raw.decode("utf-8", "replace") if keep_text else None}
+        def digests(texts):
+            told = words.encode(texts)
+            return [
+                {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(t.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(raw).hexdigest(), "decoded": raw.decode("utf-8", "replace") if keep_text else None}
+                for t, (ids, raw) in zip(told, words.decode(told), strict=True)
+            ]
 
-        return lambda texts: list(map(digest, words.look_up(texts)))
+        return digests
 
     kind = "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string,decoded:string>"
     return df.withColumn(out, text_udf(worker, kind, _DIGEST, 3_000_000)(F.col(text)))
@@ -242,17 +258,16 @@ _TOKENS = pa.struct([("ids", pa.list_(pa.int32())), ("same", pa.bool_())])
 
 
 def tokenize(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """df with n_tokens, ids (array<int>) and round_trip: whether the decoded ids are the text."""
+    """df with n_tokens, ids (array<int>) and round_trip: whether the ids, decoded, are the text."""
     path = path or default_path()
 
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = words_of(path)
         for batch in it:
             ids, same = [], []
-            for texts in slices(batch, 1_000_000):
-                for t, found in zip(texts, words.look_up(texts), strict=True):
-                    told, raw = joined(found)
-                    ids.append(np.fromstring(told.decode(), np.int32, sep=" ") if found else np.zeros(0, np.int32))
+            for texts in slices(batch, 3_000_000):
+                for t, (row, raw) in zip(texts, words.decode(words.encode(texts)), strict=True):
+                    ids.append(row)
                     same.append(raw == t.encode("utf-8", "replace"))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
