@@ -1,24 +1,34 @@
 """Exact Jaccard join on word n-grams, by token-combination prefixes.
 
-Tokens are 48-bit hashes of shingles. The join runs in these steps, none of which makes a row for each pair:
+Tokens are hashes of shingles. The join runs in these steps, none of which makes a row for each pair:
 
 1. Texts become token sets. Tokens travel in packed blobs, one for each (chunk of texts, token range); the range's
-   task finds which tokens occur in two sets or more, and only those travel back to their sets. A set that shares
-   less than its least overlap has no partner and is done.
+   task finds which tokens occur in two sets or more, and only those travel back to their sets. A token that a chunk
+   has more than once travels once, with its number of sets, so a token of all documents is a number for each
+   chunk. A set that shares less than its least overlap has no partner and is done.
 2. Equal sets are one class. Classes are counted and pruned once more, now against each other, which also gives
    each token's frequency.
 3. Prefixes. In the order of frequency, two linked sets have their K smallest common tokens within the first
    n - overlap + K of each. Rare tokens are indexed alone. Frequent ones are dealt by hash into K - 1 parts and
    indexed as pairs within a part: K common tokens hold a rare one, or two in one part. Lists of sets with an equal
-   signature become stars around their smallest member.
+   signature become stars.
 4. The stars' components bound where links can be. Each is verified exactly in one task, large ones in blocks of
-   which each two meet in a task. Sets already linked aren't compared with each other again.
+   which each two meet in a task; in one that exceeds LISTED blocks, signatures' lists take the component's place.
+   Sets already linked aren't compared with each other again.
 5. The links' components, over classes, are the answer.
 
+Tasks get about PART_BYTES each, whatever the size of the input. Rows find their class by a join that broadcasts the
+hot classes (`look_up`).
+
+How exact: n_shingles and equality of sets rest on 64-bit hashes, common tokens on their first 48 bits. A document of
+n shingles is counted short with a chance of n * n / 2**65. Two sets of n and m tokens have a false common token with a
+chance of n * m / 2**48, about 3e-10 for 300 each, which matters only if a single token decides on their link.
+
 Cases: a null or empty text has no set and links with nothing; a text with fewer words than a shingle is one
 token; equal texts, and repeated rows, are one class; rows that share a doc_id stand for themselves, and a
 component's id is the smallest doc_id in it; a null doc_id is kept and is never a component's id unless the
-component has no other; an empty table gives an empty result.
+component has no other; an empty table gives an empty result; other columns of any name are ignored by
+jaccard_components and kept by keep_first; a text of any length is taken whole, as a chunk of its own.
 """
 
 from __future__ import annotations
@@ -29,10 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, fresh, shuffle_partitions, table
+from gristmill.llm.common import HOT, batches, cut, fresh, look_up, table
 from gristmill.llm.components import components
 
 SHINGLE = 4
@@ -43,8 +53,14 @@ RARE = 16
 #: Characters in a chunk of texts, tokens in a chunk of sets.
 CHUNK_CHARS, CHUNK_TOKENS = 4_000_000, 600_000
 #: Sets and tokens in a block of a large candidate component.
-BLOCK_SETS, BLOCK_TOKENS = 1500, 1_500_000
+BLOCK_SETS, BLOCK_TOKENS = 1500, 1_000_000
+#: Blocks from which a candidate component is verified by its signatures' lists instead: a set is in fewer of them.
+LISTED = 64
+#: Bytes that a task gets of texts, of sets and of signatures.
+PART_BYTES = 8_000_000
 BITS = 48
+#: Marks the number of a token's sets in its chunk, where the chunk has several.
+MANY = np.uint32(1 << 31)
 _U = np.uint64
 
 
@@ -75,7 +91,7 @@ class Shingler:
             return np.array([known[w] for w in words], _U)
 
     def tokens(self, text: str) -> np.ndarray:
-        """Sorted distinct tokens. bytes.lower and bytes.split know ASCII only, as the contract has it."""
+        """Sorted distinct hashes. bytes.lower and bytes.split know ASCII only, as the contract has it."""
         words = text.encode("utf-8", "replace").lower().split()
         if not words:
             return np.zeros(0, _U)
@@ -85,7 +101,7 @@ class Shingler:
         acc = np.full(n, k, _U)
         for i in range(k):
             acc = mix(acc * _U(0x9E3779B97F4A7C15) + h[i : i + n])
-        return np.unique(acc >> _U(64 - BITS))
+        return np.unique(acc)
 
 
 def overlap(n, least: int, per: int):
@@ -122,78 +138,112 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _routed(chunk: int, sets: list[np.ndarray], header: bytes, parts: int) -> Iterator[pa.RecordBatch]:
-    """The chunk's header and tokens, by the part of the token space."""
+    """The chunk's header (kind 0), its tokens that several of its sets have, with those sets (kind 2), and all its
+    distinct tokens by the part of the token space (kind 1): with their set, or MANY and the number of their sets."""
     out = [(chunk % parts, chunk, 0, header)]
     if sets and sum(map(len, sets)):
         tokens = np.concatenate(sets)
         local = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-        order = np.argsort(tokens)
+        order = np.argsort(tokens, kind="stable")
         tokens, local = tokens[order], local[order]
+        heads = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        count = np.diff(np.append(heads, len(tokens))).astype(np.uint32)
+        several = np.repeat(count > 1, count)
+        if several.any():
+            out.append((chunk % parts, chunk, 2, pack(tokens[several], local[several])))
+        tokens, local = tokens[heads], np.where(count > 1, count | MANY, local[heads])
         edges = np.searchsorted(tokens, (np.arange(parts + 1, dtype=np.float64) * (2.0**BITS / parts)).astype(_U))
         edges[-1] = len(tokens)
         out += [(p, chunk, 1, pack(tokens[a:b], local[a:b])) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
-    for k in range(0, len(out), 256):
-        yield _rows(out[k : k + 256])
+    for part in batches(out, [len(x[3]) for x in out], 4_000_000):
+        yield _rows(part)
 
 
-def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each chunk, its tokens that two sets or more have, with the number of those sets."""
-    chunks, tokens, local = [], [], []
-    for batch in it:
-        for c, kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            if kind == 0:
-                yield _rows([(0, c, 0, blob.as_py())])
-            else:
-                t, x = unpack(blob.as_py())
-                chunks.append(c)
-                tokens.append(t)
-                local.append(x)
-    if not tokens:
-        return
-    size = [len(t) for t in tokens]
-    t = np.concatenate(tokens)
-    tokens.clear()
-    order = np.argsort(t)
-    s = t[order]
-    heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    count = np.diff(np.append(heads, len(s)))
-    many = np.empty(len(t), np.uint32)
-    many[order] = np.repeat(np.minimum(count, 2**32 - 1), count)
-    del s, order
-    at = 0
-    for c, n, x in zip(chunks, size, local, strict=True):
-        keep = many[at : at + n] > 1
-        if keep.any():
-            yield _rows([(0, c, 1, pack(t[at : at + n][keep], x[keep]) + many[at : at + n][keep].astype("<u4").tobytes())])
-        at += n
+def _counter(frequencies: bool):
+    """What a part of the token space does: for each chunk, its tokens that two sets or more have, with the number of
+    those sets. Without frequencies, tokens that the chunk knows to be in several sets don't travel back."""
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, tokens, local = [], [], []
+        for batch in it:
+            for c, kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if kind != 1:
+                    yield _rows([(0, c, kind, blob.as_py())])
+                else:
+                    t, x = unpack(blob.as_py())
+                    chunks.append(c)
+                    tokens.append(t)
+                    local.append(x)
+        if not tokens:
+            return
+        size = [len(t) for t in tokens]
+        t, x = np.concatenate(tokens), np.concatenate(local)
+        tokens.clear()
+        local.clear()
+        order = np.argsort(t)
+        s = t[order]
+        heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        weight = np.where(x & MANY, x & ~MANY, 1)[order].astype(np.int64)
+        total = np.minimum(np.add.reduceat(weight, heads), 2**32 - 1).astype(np.uint32)
+        many = np.empty(len(t), np.uint32)
+        many[order] = np.repeat(total, np.diff(np.append(heads, len(s))))
+        del s, order, weight
+        back = many > 1 if frequencies else (many > 1) & (x & MANY == 0)
+        at = 0
+        for c, n in zip(chunks, size, strict=True):
+            keep = np.flatnonzero(back[at : at + n]) + at
+            if len(keep):
+                yield _rows([(0, c, 1, pack(t[keep], x[keep]) + many[keep].astype("<u4").tobytes())])
+            at += n
+
+    return counted
 
 
 def _gathered(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each chunk: its header, and its shared tokens with sets' numbers and frequencies, by set."""
-    headers: dict[int, bytes] = {}
-    found: dict[int, list] = {}
+    """For each chunk: its header, and its shared tokens with sets' numbers and frequencies (0 if they weren't asked
+    for), by set. The rows come sorted by chunk, so one chunk is held at a time."""
+    chunk, header, several, found = None, b"", None, []
+
+    def done():
+        parts = [(t, x, f) for t, x, f in found if len(t)]
+        t, x, f = (np.concatenate(col) for col in zip(*parts, strict=True)) if parts else (np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+        if several is not None:
+            t2, x2 = several
+            told = (x & MANY) != 0
+            names, rates = t[told], f[told]
+            by = np.argsort(names)
+            f2 = rates[by][np.searchsorted(names[by], t2)] if len(names) else np.zeros(len(t2), np.uint32)
+            t, x, f = np.concatenate([t[~told], t2]), np.concatenate([x[~told], x2]), np.concatenate([f[~told], f2])
+        order = np.lexsort((t, x))
+        return header, t[order], x[order], f[order]
+
     for batch in it:
         for c, kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if c != chunk:
+                if chunk is not None:
+                    yield done()
+                chunk, several, found = c, None, []
             raw = blob.as_py()
             if kind == 0:
-                headers[c] = raw
+                header = raw
+            elif kind == 2:
+                several = unpack(raw)
             else:
                 t, x = unpack(raw)
-                found.setdefault(c, []).append((t, x, np.frombuffer(raw, "<u4", len(t), 4 + 10 * len(t))))
-    for c, header in headers.items():
-        got = found.pop(c, [])
-        if got:
-            t, x, f = (np.concatenate(col) for col in zip(*got, strict=True))
-            order = np.lexsort((t, x))
-            yield header, t[order], x[order], f[order]
-        else:
-            yield header, np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-
-
-def _route(df: DataFrame, mapper, schema_out: str, gather, parts: int) -> DataFrame:
+                found.append((t, x, np.frombuffer(raw, "<u4", len(t), 4 + 10 * len(t))))
+    if chunk is not None:
+        yield done()
+
+
+def _route(df: DataFrame, mapper, schema_out: str, gather, parts: int, frequencies: bool) -> DataFrame:
     """Chunks out to the parts of the token space and back."""
-    sent = df.mapInArrow(mapper, ROUTED).repartition(parts, "part").mapInArrow(_counted, ROUTED)
-    return sent.repartition(parts, "chunk").mapInArrow(gather, schema_out)
+    sent = df.mapInArrow(mapper, ROUTED).repartition(parts, "part").mapInArrow(_counter(frequencies), ROUTED)
+    return sent.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(gather, schema_out)
+
+
+def _parts(df: DataFrame, size: Column) -> int:
+    """Tasks for the rows of df, `size` bytes each, PART_BYTES to a task."""
+    return max(1, -(-(df.agg(F.sum(size)).first()[0] or 0) // PART_BYTES))
 
 
 def _chunk_ids() -> Iterator[int]:
@@ -204,9 +254,9 @@ def _chunk_ids() -> Iterator[int]:
 
 
 def shared_sets(docs: DataFrame, size: int, least: int, per: int) -> DataFrame:
-    """docs: (doc_id, text). (doc_id, n, key, tokens): n tokens, the set's digest (null for none), and, where the
-    set can have a partner, its shared tokens as u64."""
-    parts = shuffle_partitions(docs.sparkSession)
+    """docs: (doc_id, text, mark), mark 16 bytes or null. (doc_id, mark, n, key, tokens): n tokens, the set's digest
+    (null for none), and, where the set can have a partner, its shared tokens as u64."""
+    parts = _parts(docs, F.octet_length("text") + 50)
 
     def mapper(it):
         ids, shingler = _chunk_ids(), Shingler(size)
@@ -217,19 +267,21 @@ def shared_sets(docs: DataFrame, size: int, least: int, per: int) -> DataFrame:
         def done():
             header = np.uint32(len(sets)).tobytes() + b"".join(
                 [
-                    np.array([h[0] or 0 for h in head], "<i8").tobytes(),
-                    np.array([h[0] is None for h in head], np.uint8).tobytes(),
-                    np.array([len(s) for s in sets], "<u4").tobytes(),
-                    b"".join(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() for s in sets),
+                    np.array([d or 0 for d, *_ in head], "<i8").tobytes(),
+                    np.array([d is None for d, *_ in head], np.uint8).tobytes(),
+                    np.array([n for _, _, n, _ in head], "<u4").tobytes(),
+                    b"".join(m or bytes(16) for _, m, *_ in head),
+                    b"".join(k for *_, k in head),
                 ]
             )
             yield from _routed(next(ids), sets, header, parts)
 
         for batch in it:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for d, t, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = t.as_py() or ""
-                sets.append(shingler.tokens(text))
-                head.append((d,))
+                hashes = shingler.tokens(text)
+                head.append((d, m, len(hashes), hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest()))
+                sets.append(np.unique(hashes >> _U(64 - BITS)))
                 held += len(text) + 50
                 if held > CHUNK_CHARS:
                     yield from done()
@@ -239,7 +291,7 @@ def shared_sets(docs: DataFrame, size: int, least: int, per: int) -> DataFrame:
         if sets:
             yield from done()
 
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("tokens", pa.binary())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("n", pa.int64()), ("key", pa.string()), ("tokens", pa.binary())])
 
     def gather(it):
         for header, t, x, _ in _gathered(it):
@@ -247,21 +299,23 @@ def shared_sets(docs: DataFrame, size: int, least: int, per: int) -> DataFrame:
             doc = np.frombuffer(header, "<i8", k, 4)
             null = np.frombuffer(header, np.uint8, k, 4 + 8 * k).astype(bool)
             n = np.frombuffer(header, "<u4", k, 4 + 9 * k).astype(np.int64)
-            keys = header[4 + 13 * k :]
+            marks, keys = header[4 + 13 * k :], header[4 + 29 * k :]
             cut_at = np.searchsorted(x, np.arange(k + 1))
-            shared = np.diff(cut_at)
-            live = (n > 0) & (shared >= overlap(n, least, per))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc, mask=null),
-                    pa.array(n),
-                    pa.array([keys[16 * i : 16 * i + 16].hex() if n[i] else None for i in range(k)], pa.string()),
-                    pa.array([t[cut_at[i] : cut_at[i + 1]].astype("<u8").tobytes() if live[i] else None for i in range(k)], pa.binary()),
-                ],
-                schema=kinds,
-            )
+            live = (n > 0) & (np.diff(cut_at) >= overlap(n, least, per))
+            for a in range(0, k, 500):
+                part = range(a, min(a + 500, k))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc[a : a + 500], mask=null[a : a + 500]),
+                        pa.array([marks[16 * i : 16 * i + 16] for i in part], pa.binary()),
+                        pa.array(n[a : a + 500]),
+                        pa.array([keys[16 * i : 16 * i + 16].hex() if n[i] else None for i in part], pa.string()),
+                        pa.array([t[cut_at[i] : cut_at[i + 1]].astype("<u8").tobytes() if live[i] else None for i in part], pa.binary()),
+                    ],
+                    schema=kinds,
+                )
 
-    return _route(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), mapper, "doc_id long, n long, key string, tokens binary", gather, parts)
+    return _route(docs, mapper, "doc_id long, mark binary, n long, key string, tokens binary", gather, parts, False)
 
 
 def signatures(n: int, tokens: np.ndarray, count: np.ndarray, least: int, per: int, rare: int = RARE) -> np.ndarray:
@@ -269,10 +323,11 @@ def signatures(n: int, tokens: np.ndarray, count: np.ndarray, least: int, per: i
     low = overlap(n, least, per)
     order = np.lexsort((tokens, count))
     out = []
-    # linked sets meet in the bucket of the larger one
-    for bucket in {n.bit_length() - 1, (n * per // least).bit_length() - 1}:
+    # linked sets meet in the bucket of the larger one, which may be any from the set's own to its largest partner's
+    for bucket in range(n.bit_length() - 1, (n * per // least).bit_length()):
         classes = 0 if bucket < 2 else max(1, int((1 << bucket) * (1 - least / per)) // 8)
-        if low < classes + 1:
+        # as many tokens must be common to any two that meet here
+        if overlap(1 << bucket, least, per) < classes + 1:
             classes = 0
         take = order[: max(0, len(tokens) - low + classes + 1)]
         t, alone = tokens[take], (count[take] <= rare) | (classes == 0)
@@ -294,7 +349,7 @@ def signatures(n: int, tokens: np.ndarray, count: np.ndarray, least: int, per: i
 def class_signatures(classes: DataFrame, least: int, per: int) -> DataFrame:
     """classes: (cid, n, tokens). Those that can still have a partner among the others, with their shared tokens
     and signatures, both as u64."""
-    parts = shuffle_partitions(classes.sparkSession)
+    parts = _parts(classes, F.octet_length("tokens") + 50)
 
     def mapper(it):
         ids = _chunk_ids()
@@ -337,52 +392,76 @@ def class_signatures(classes: DataFrame, least: int, per: int) -> DataFrame:
                     schema=kinds,
                 )
 
-    return _route(classes, mapper, "cid long, n long, tokens binary, signatures binary", gather, parts)
+    return _route(classes, mapper, "cid long, n long, tokens binary, signatures binary", gather, parts, True)
 
 
 EDGES = "a long, b long"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _star(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, the smallest of each one's sets, edges of that set with the others)."""
+    order = np.lexsort((who, sig))
+    sig, who = sig[order], who[order]
+    heads = np.concatenate([[True], sig[1:] != sig[:-1]])
+    first = who[np.maximum.accumulate(np.where(heads, np.arange(len(sig)), 0))]
+    return sig[heads], who[heads], np.unique(np.stack([first, who], 1)[first != who], axis=0)
+
+
 def star_edges(signed: DataFrame) -> DataFrame:
-    """(a, b): for each signature that several classes have, the smallest of them with each other one."""
-    parts = shuffle_partitions(signed.sparkSession)
+    """(a, b): edges that connect the classes of each signature. Classes that meet in a batch become a star there, and
+    only its centre goes on, so a signature that all classes have is a row for each batch."""
+    parts = _parts(signed, 2 * F.octet_length("signatures"))
 
     def mapper(it):
         for batch in it:
-            cid = np.asarray(batch.column(0))
             lists = [np.frombuffer(x.as_py(), _U) for x in batch.column(1)]
-            sig = np.concatenate(lists) if lists else np.zeros(0, _U)
-            who = np.repeat(cid, [len(x) for x in lists])
+            if not lists:
+                continue
+            sig, who, pairs = _star(np.concatenate(lists), np.repeat(np.asarray(batch.column(0)), [len(x) for x in lists]))
             part = (sig % _U(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
             out = [(p, 0, 1, sig[s].tobytes() + who[s].astype("<i8").tobytes()) for p in range(parts) if len(s := order[ends[p] : ends[p + 1]])]
-            for k in range(0, len(out), 256):
-                yield _rows(out[k : k + 256])
+            out += [(int(pairs[k, 0]) % parts, 0, 2, pairs[k : k + 50_000].astype("<i8").tobytes()) for k in range(0, len(pairs), 50_000)]
+            for some in batches(out, [len(x[3]) for x in out], 4_000_000):
+                yield _rows(some)
+
+    def told(pairs):
+        for k in range(0, len(pairs), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 50_000, 0]), pa.array(pairs[k : k + 50_000, 1])], schema=_EDGES)
 
     def reducer(it):
         sig, who = [], []
         for batch in it:
-            for blob in batch.column(3):
+            for kind, blob in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 raw = blob.as_py()
+                if kind == 2:
+                    yield from told(np.frombuffer(raw, "<i8").reshape(-1, 2))
+                    continue
                 n = len(raw) // 16
                 sig.append(np.frombuffer(raw, _U, n))
                 who.append(np.frombuffer(raw, "<i8", n, 8 * n))
-        if not sig:
-            return
-        sig, who = np.concatenate(sig), np.concatenate(who)
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
-        heads = np.concatenate([[True], sig[1:] != sig[:-1]])
-        first = who[np.maximum.accumulate(np.where(heads, np.arange(len(sig)), 0))]
-        pairs = np.unique(np.stack([first, who], 1)[first != who], axis=0)
-        for k in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 50_000, 0]), pa.array(pairs[k : k + 50_000, 1])], schema=_EDGES)
+        if sig:
+            yield from told(_star(np.concatenate(sig), np.concatenate(who))[2])
 
     return signed.select("cid", "signatures").mapInArrow(mapper, ROUTED).repartition(parts, "part").mapInArrow(reducer, EDGES).distinct()
 
 
+def signature_lists(signed: DataFrame) -> DataFrame:
+    """(id, label): classes by each signature that two or more have."""
+
+    def run(it):
+        for batch in it:
+            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sig = np.frombuffer(raw.as_py(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), c)), pa.array(sig)], ["id", "label"])
+
+    rows = signed.select("cid", "signatures").mapInArrow(run, "id long, label long")
+    several = rows.groupBy(F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return rows.join(several, F.col("label") == F.col("_label")).select("id", "label")
+
+
 def linked(n: np.ndarray, sets: list[np.ndarray], least: int, per: int) -> list[tuple[int, int]]:
     """A forest of links that spans the components of the given sets: positions of each two. A set that was
     reached counts its common tokens with all unreached ones at once, over the lists of its tokens."""
@@ -429,15 +508,26 @@ def linked(n: np.ndarray, sets: list[np.ndarray], least: int, per: int) -> list[
     return out
 
 
-def verified_links(signed: DataFrame, clusters: DataFrame, least: int, per: int) -> DataFrame:
-    """(a, b): links that span the exact components within each candidate component. signed: (cid, n, tokens);
-    clusters: (id, label). A component that exceeds a block is dealt by hash into blocks; each two blocks, and
-    so each two sets, meet in one task."""
-    parts = shuffle_partitions(signed.sparkSession)
+def _blocks(signed: DataFrame, clusters: DataFrame) -> DataFrame:
+    """clusters with the number of blocks that each one's sets make."""
     sized = clusters.join(signed.select("cid", F.octet_length("tokens").alias("_bytes")), F.col("id") == F.col("cid"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("_bytes") / (8 * BLOCK_TOKENS))).cast("int")
     plan = sized.groupBy(F.col("label").alias("_label")).agg(blocks.alias("_blocks"))
-    placed = clusters.join(plan, F.col("label") == F.col("_label")).select("id", "label", "_blocks")
+    return clusters.join(plan, F.col("label") == F.col("_label")).select("id", "label", "_blocks")
+
+
+def verified_links(signed: DataFrame, clusters: DataFrame, least: int, per: int) -> DataFrame:
+    """(a, b): links that span the exact components within each candidate component. signed: (cid, n, tokens,
+    signatures); clusters: (id, label). A component that exceeds a block is dealt by hash into blocks; each two
+    blocks, and so each two sets, meet in one task. One of more than LISTED blocks is replaced by the lists of its
+    signatures, as linked sets share one, and its sets would otherwise travel once for each other block."""
+    placed = cut(_blocks(signed, clusters))
+    large = placed.filter(F.col("_blocks") > LISTED)
+    if not large.isEmpty():
+        lists = signature_lists(signed.join(large.select("id"), F.col("cid") == F.col("id"), "left_semi"))
+        placed = cut(placed.filter(F.col("_blocks") <= LISTED).unionByName(_blocks(signed, cut(lists))))
+    copies = F.greatest(F.col("_blocks") - 1, F.lit(1))
+    parts = _parts(signed.join(placed, F.col("cid") == F.col("id")), copies * (F.octet_length("tokens") + 50))
     rows = signed.join(placed, F.col("cid") == F.col("id")).withColumn("_mine", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("_blocks") - 2, F.lit(0))))
     # with two blocks or more, a block meets each other one; a single block is its own
@@ -466,33 +556,49 @@ def verified_links(signed: DataFrame, clusters: DataFrame, least: int, per: int)
     return dealt.mapInArrow(verify, EDGES)
 
 
-def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: int = LEAST, per: int = PER) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of df; doc_id is cast to long."""
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def _found(docs: DataFrame, size: int, least: int, per: int) -> DataFrame:
+    """docs: (doc_id, text, mark). (doc_id, mark, n, component) of each row."""
+    if not 0 < least <= per or size < 1:
+        raise ValueError("the similarity must be above 0 and not above 1, and a shingle needs a word")
     sets = cut(shared_sets(docs, size, least, per))
-    known = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("_first"))
+    known = cut(sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_rows")))
     classes = sets.filter("tokens is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     signed = cut(class_signatures(classes.select("cid", "n", "tokens"), least, per))
     clusters = components(star_edges(signed))
     label = components(verified_links(signed, clusters, least, per))
-    named = classes.select("key", "cid").join(known, "key").join(label, F.col("cid") == F.col("id"))
-    least_id = named.groupBy("label").agg(F.min("_first").alias("_least")).withColumnRenamed("label", "_label")
-    joined = named.join(least_id, F.col("label") == F.col("_label")).select("key", "_least")
-    by_key = known.join(joined, "key", "left").select(F.col("key").alias("_key"), F.coalesce("_least", "_first").alias("_component"))
-    out = sets.join(by_key, F.col("key") == F.col("_key"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
-
-
-def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of df whose doc_id is their component's id, repeated rows once. doc_id tells rows apart, up to
-    repeated ones; rows without one stay unless they are copies of a row that has one."""
-    n, h = fresh(df, "_nth", "_hash")
-    found = jaccard_components(df, doc_id, text, **options)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    own = df.join(first, F.col(doc_id).cast("long").eqNullSafe(F.col("_first")), "left_semi").withColumn(h, F.xxhash64(F.col(text)))
-    once = Window.partitionBy(F.col(doc_id), F.col(h)).orderBy(F.col(h))
-    return own.withColumn(n, F.row_number().over(once)).filter(F.col(n) == 1).drop(n, h)
+    named = cut(classes.select("key", "cid").join(known, "key").join(label, F.col("cid") == F.col("id")).select("key", "label", "_first"))
+    least_id = named.groupBy("label").agg(F.min("_first").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    joined = look_up(named.select("key", "label"), "label", least_id.drop("_n"), _hot(least_id, "label", "_n"))
+    joined = joined.select(F.col("key").alias("_key"), "_least")
+    by_key = known.join(joined, F.col("key") == F.col("_key"), "left").select("key", F.coalesce("_least", "_first").alias("_component"))
+    out = look_up(sets.drop("tokens"), "key", by_key, _hot(known, "key", "_rows"))
+    return out.select("doc_id", "mark", "n", F.coalesce("_component", "doc_id").alias("component"))
+
+
+def _hot(counted: DataFrame, key: str, rows: str) -> DataFrame:
+    """The keys that more than one of HOT rows have."""
+    total = counted.agg(F.sum(rows)).first()[0] or 0
+    return counted.filter(F.col(rows) * HOT > total).select(key)
+
+
+def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: int = LEAST, per: int = PER) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of df; doc_id is cast to long."""
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("mark"))
+    return _found(docs, size, least, per).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: int = LEAST, per: int = PER) -> DataFrame:
+    """The rows of df whose doc_id is their component's id; of rows with equal doc_id and text one. Rows without a
+    doc_id stay, once for each text, if nothing in their component has one. Repeated rows are dropped before the
+    one shuffle of the texts, so any number of them makes no large task."""
+    i, m, own, mark = fresh(df, "_id", "_mark", "_own", "_text_mark")
+    named = df.withColumns({i: F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")), m: F.coalesce(F.unhex(F.md5(F.col(text))), F.lit(bytes(16)))})
+    docs = named.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(m).alias("mark"))
+    found = _found(docs, size, least, per).filter(F.col("doc_id").eqNullSafe(F.col("component")))
+    first = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(own), F.col("mark").alias(mark)).distinct()
+    kept = named.dropDuplicates([i, m]).join(first, (F.col(i) == F.col(own)) & (F.col(m) == F.col(mark)), "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
