@@ -1,12 +1,15 @@
 """Quality rules with suffix-array repetition.
 
 Each text's words form one sequence. A suffix array over all sequences of a slice, built by prefix doubling in
-numpy, gives the longest-common-prefix array; its intervals are the maximal repeated substrings. The union of
-the spans of repeats of MIN_REPEAT words or more must not cover more than a fraction of the words, and the
-longest repeat must not exceed a limit.
+numpy, gives the longest-common-prefix array. Its intervals are the substrings that repeat and can't grow to the
+right; those that can't grow to the left either are the maximal repeated substrings. The union of the spans of
+maximal repeats of MIN_REPEAT words or more must not cover more than a fraction of the words, and the longest
+must not exceed a limit.
 
 Cases: a null or empty text has no words and fails for being short; a text without repeats has longest_repeat 0;
-texts of any length are taken whole; a column named like the output is replaced.
+texts of any length are taken whole, one that exceeds a slice alone; repeated rows and equal texts have equal results;
+an empty table gives an empty result; a column named like the output is replaced, others are left alone whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ SPACE = b" \t\n\r\x0b\x0c"
 def suffix_array(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of an int array and its LCP array (lcp[i]: of suffixes i-1 and i in that order; lcp[0] = 0).
 
-    Prefix doubling; a round sorts only suffixes whose rank is still shared. The ranks of each round are kept,
-    so that an LCP is found by descending through them, one doubling at a time."""
+    Prefix doubling; a round sorts only suffixes whose rank is still shared. The ranks of each round are kept in four
+    bytes each, so that an LCP is found by descending through them, one doubling at a time. There are as many rounds
+    as the longest repeat has binary digits."""
     n = len(seq)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -45,7 +49,7 @@ def suffix_array(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(rank, kind="stable")
     sorted_rank = rank[order]
     heads = np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]])
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 2**31 else np.int64)
     rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
     levels, width = [rank], 1
     while True:
@@ -75,27 +79,50 @@ def suffix_array(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], lcp])
 
 
-def lcp_intervals(order: np.ndarray, lcp: np.ndarray, seq: np.ndarray, least: int) -> list[tuple[int, list[int]]]:
-    """Maximal repeated substrings of `least` elements or more: (length, sorted starts). Right-maximal as LCP
-    intervals are, left-maximal if what precedes the occurrences differs."""
-    out, stack, n = [], [], len(order)
-    for i in range(1, n + 1):
-        h = int(lcp[i]) if i < n else 0
-        left = i - 1
-        while stack and stack[-1][0] > h:
-            length, left = stack.pop()
-            starts = order[left:i]
-            before = {int(seq[p - 1]) if p else None for p in starts}
-            if len(before) > 1 or None in before:
-                out.append((length, sorted(map(int, starts))))
-        if h >= least and (not stack or stack[-1][0] < h):
-            stack.append((h, left))
-    return out
+def _nearest_lower(lcp: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """For the places `at`, all that hold the least height or more, the nearest place of lower height to the left
+    (step -1) or right (1). A place jumps to where the one before it has jumped to, so jumps double."""
+    near = np.arange(len(lcp), dtype=np.int64)
+    near[at] = at + step
+    live = at
+    while len(live):
+        live = live[lcp[near[live]] >= lcp[live]]
+        near[live] = near[near[live]]
+    return near
+
+
+def lcp_intervals(order: np.ndarray, lcp: np.ndarray, seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The LCP intervals of height `least` or more that are maximal repeated substrings, as rows (left, right, place):
+    the suffixes order[left:right] have their first lcp[place] elements in common, and what precedes them differs. And,
+    for each place of the suffix array, a place of the innermost such interval around it, -1 for none."""
+    n = len(order)
+    high = np.concatenate([lcp, [0]]) if n else np.zeros(1, np.int64)
+    at = np.flatnonzero(high >= least)
+    if len(at) == 0:
+        return np.zeros((0, 3), np.int64), np.full(n, -1, np.int64)
+    left, right = _nearest_lower(high, at, -1), _nearest_lower(high, at, 1)
+    # what precedes the suffixes of an interval differs if it changes between its first and its last one
+    before = np.where(order > 0, seq[order - 1], -1)
+    changes = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    a, b = left[at], right[at]
+    maximal = changes[b - 1] > changes[a]
+    # one that isn't maximal passes its suffixes to the interval around it
+    goes = np.arange(n + 1)
+    goes[at] = np.where(maximal, at, np.where(high[a] >= high[b], a, b))
+    while True:
+        further = goes[goes]
+        if np.array_equal(further, goes):
+            break
+        goes = further
+    inner = goes[np.where(high[:-1] >= high[1:], np.arange(n), np.arange(1, n + 1))]
+    found, first = np.unique(np.stack([a, b], 1)[maximal], axis=0, return_index=True)
+    return np.column_stack([found, at[maximal][first]]), np.where(high[inner] >= least, inner, -1)
 
 
 def repeat_lengths(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """For the words of all docs, one after the other: how long the longest substring is that starts there and
-    occurs elsewhere in the same doc. Also where each doc starts, with the total at the end."""
+    """For the words of all docs, one after the other: the length of the longest maximal repeat of MIN_REPEAT words or
+    more in the same doc that has an occurrence there, 0 for none. Also where each doc starts, with the total at the
+    end."""
     bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
     n = int(bounds[-1])
     longest = np.zeros(n, np.int64)
@@ -104,18 +131,18 @@ def repeat_lengths(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     ids: dict[bytes, int] = {}
     code = np.fromiter((ids.setdefault(w, len(ids)) for w in itertools.chain.from_iterable(docs)), np.int64, n)
     # a word is another one in each doc, so that no repeat crosses from doc to doc
-    doc = np.repeat(np.arange(len(docs), dtype=np.int64), np.diff(bounds))
-    order, lcp = suffix_array(doc * len(ids) + code)
-    longest[order] = np.maximum(lcp, np.concatenate([lcp[1:], [0]]))
+    seq = np.repeat(np.arange(len(docs), dtype=np.int64), np.diff(bounds)) * len(ids) + code
+    order, lcp = suffix_array(seq)
+    _, inner = lcp_intervals(order, lcp, seq, MIN_REPEAT)
+    longest[order] = np.where(inner >= 0, np.concatenate([lcp, [0]])[inner], 0)
     return longest, bounds
 
 
 def analyse(texts: list[str]) -> list[dict]:
     raws = [t.encode("utf-8", "surrogatepass") for t in texts]
     docs = [r.split() for r in raws]  # bytes split at exactly the six ASCII white-space characters
-    longest, bounds = repeat_lengths(docs)
-    n = len(longest)
-    hit = np.where(longest >= MIN_REPEAT, longest, 0)
+    hit, bounds = repeat_lengths(docs)
+    n = len(hit)
     # the union of the spans: a word is covered if an earlier start in its doc reaches beyond it
     reach = np.maximum.accumulate(np.arange(n) + hit) if n else hit
     covered = reach > np.arange(n)
@@ -166,7 +193,9 @@ def repeats(text: str | None, least: int = MIN_REPEAT) -> list[tuple[int, list[i
     words = (text or "").encode().split()
     ids: dict[bytes, int] = {}
     seq = np.array([ids.setdefault(w, len(ids)) for w in words], np.int64)
-    return lcp_intervals(*suffix_array(seq), seq, least)
+    order, lcp = suffix_array(seq)
+    found, _ = lcp_intervals(order, lcp, seq, least)
+    return [(int(lcp[k]), sorted(map(int, order[a:b]))) for a, b, k in found]
 
 
 def filter_quality(df: DataFrame, text: str = "text") -> DataFrame:
