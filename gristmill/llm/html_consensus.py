@@ -6,7 +6,9 @@ again from the elements on the host's winning path; a page that lacks it uses it
 
 Cases: a null or empty html has an empty text; pages without a host (null or odd urls) use their own
 choice; broken markup never fails: unclosed elements end with their parents, stray end tags are ignored;
-repeated pages are extracted each; ties are settled by path, the shorter and then the smaller one first.
+repeated pages are extracted each; ties are settled by path, the shorter and then the smaller one first; a page of
+any length is read whole; an empty table gives an empty result; a column named like the output is replaced, others
+pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -19,14 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import table, text_udf
+from gristmill.llm.common import HOT, cut, fresh, look_up, table, text_udf
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'"<>])*)>|<[!?][^>]*>""", re.S)
+#: A quoted value ends before white space, a slash or the tag's end. A tag with a quote too many ends at the first '>'.
+TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)"""
+    r"""(?:(?P<attrs>(?:"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>])|[^'"<>])*)>|(?P<loose>[^<>]*)>)|<[!?][^>]*>""",
+    re.S,
+)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content isn't markup, or isn't shown.
-RAW = frozenset("script style noscript template title textarea svg iframe object select canvas audio video noframes xmp annotation annotation-xml".split())
+RAW = frozenset("script style noscript template title textarea svg iframe select noframes xmp annotation annotation-xml".split())
+#: Those of them that run to the end of the page if nothing closes them; of the others only the tag goes.
+ENDLESS = frozenset("script style title textarea noframes xmp iframe".split())
 #: Never part of an article.
 APART = frozenset("nav header footer aside button menu dialog fieldset label head".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul form".split()) | APART
@@ -164,15 +173,15 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             elif name in ("p", "br"):
                 flush() if name == "p" else say(" ")
             continue
-        attrs = m["attrs"]
+        attrs = m["attrs"] if m["attrs"] is not None else m["loose"]
         if name in VOID:
             flush() if name == "hr" else say(" ") if name == "br" else None
             continue
         if name in RAW:
-            if name in ("svg", "object", "select", "audio", "video", "canvas", "noscript", "template") and attrs.rstrip().endswith("/"):
+            if name not in ENDLESS and attrs.rstrip().endswith("/"):
                 continue
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            at = close.end() if close else end if name in ENDLESS else at
             continue
         if name in BLOCK:
             flush()
@@ -254,7 +263,7 @@ def chosen(found: list[tuple[Node, str, int]]) -> str | None:
             n = n.parent
     held = [p for p, w in worth.items() if w > 0 and w >= NEARLY * total]
     if not held:
-        return max((p for p, w in worth.items() if w > 0), key=lambda p: (worth[p], -len(p), p), default=None)
+        return min((p for p, w in worth.items() if w > 0), key=lambda p: (-worth[p], len(p), p), default=None)
     best = max(held, key=lambda p: nodes[p].depth)
     up, n = [], nodes[best]
     while n is not None and n.parent is not None:
@@ -316,36 +325,41 @@ def host_of(url: Column) -> Column:
 
 _VOTES = pa.list_(pa.struct([("path", pa.string()), ("share", pa.int64())]))
 
-#: Hosts whose winning paths are broadcast at most; beyond it they are joined by a shuffle.
+#: Hosts whose winning paths are broadcast at most. Beyond it only those of hot hosts are, which are HOT at most; the
+#: others' pages meet their path by a shuffle.
 BROADCAST_HOSTS = 50_000
 
 
 def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path): for each host the path with the most votes."""
+    """(host, path, votes): for each host the path with the most votes, and all its pages' votes."""
     vote = text_udf(lambda: lambda texts: [[{"path": p, "share": s} for p, s in votes(t)] for t in texts], "array<struct<path:string,share:long>>", _VOTES)
     cast = pages.select(host_of(F.col(url)).alias("host"), F.explode(vote(F.col(html))).alias("v")).filter("host is not null")
     counted = cast.groupBy("host", "v.path").agg(F.sum("v.share").alias("votes"))
-    best = F.max(F.struct("votes", (-F.length("path")).alias("short"), "path"))
-    return counted.groupBy("host").agg(best.alias("_best")).select("host", F.col("_best.path").alias("path"))
+    best = F.min(F.struct((-F.col("votes")).alias("votes"), F.length("path").alias("size"), "path"))
+    return counted.groupBy("host").agg(best.alias("_best"), F.sum("votes").alias("votes")).select("host", F.col("_best.path").alias("path"), "votes")
 
 
 def extract_main(pages: DataFrame, url: str = "url", html: str = "html", out: str = "main_text") -> DataFrame:
     """pages with `out`: the main text of each page, blocks joined by two newlines."""
-    from gristmill.llm.common import cut, fresh
-
     won = cut(winning_paths(pages, url, html))
     h, p = fresh(pages, "_host", "_path")
-    won = won.select(F.col("host").alias("_won"), F.col("path").alias(p))
+    named = pages.withColumn(h, host_of(F.col(url)))
+    found = won.select(F.col("host").alias(h), F.col("path").alias(p))
     if won.count() <= BROADCAST_HOSTS:
-        won = F.broadcast(won)
-    joined = pages.withColumn(h, host_of(F.col(url))).join(won, F.col(h) == F.col("_won"), "left").drop("_won", h)
+        joined = named.join(F.broadcast(found), h, "left")
+    else:
+        total = won.agg(F.sum("votes")).first()[0]
+        hot = won.filter(F.col("votes") * HOT > total).select(F.col("host").alias(h))
+        # a host has no such name, so pages of hot hosts, and those without one, spread by their content
+        joined = look_up(named, h, found, hot, F.concat(F.lit("~"), F.xxhash64(url, html).cast("string")))
 
     def run(pages: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for html, path in pages:
             yield pa.array([extract(x.as_py() or "", y.as_py()) for x, y in zip(html, path, strict=True)], type=pa.string())
 
     run.__annotations__ = {"pages": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return joined.withColumn(out, F.arrow_udf(run, "string")(F.col(html), F.col(p))).drop(p)
+    told = joined.withColumn(out, F.arrow_udf(run, "string")(F.col(html), F.col(p)))
+    return told.select(*[F.col(f"`{c}`") for c in pages.columns if c != out], out)
 
 
 def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
