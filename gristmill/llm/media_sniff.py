@@ -6,8 +6,9 @@ length, or rejects the candidate. What validates at offset 0 corrects the declar
 in is carved out as embedded media, outermost first.
 
 Cases: null bytes count as empty: no media, sniffed type null; a truncated or overlong structure isn't reported;
-media inside reported media are not searched; equal bytes give equal results; an existing column named like the
-output is replaced.
+media inside reported media are not searched; equal bytes, and repeated rows, give equal results; bytes of any length
+are searched whole; an empty table gives an empty result; an existing column named like the output is replaced, others
+pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -127,31 +128,66 @@ def _bmp(b: bytes, at: int) -> int:
     return size if width > 0 and offset >= 14 + header and at + size <= len(b) and (not plain or offset + rows <= size) and offset <= size else 0
 
 
+@cache
+def _crc_table(bits: int, poly: int) -> tuple[int, ...]:
+    out, top, mask = [], 1 << (bits - 1), (1 << bits) - 1
+    for x in range(256):
+        r = x << (bits - 8)
+        for _ in range(8):
+            r = (r << 1) ^ poly if r & top else r << 1
+        out.append(r & mask)
+    return tuple(out)
+
+
+def _flac_header(b: bytes, i: int) -> tuple[int, int]:
+    """(bytes, samples) of the frame header at i, (0, 0) if there is none: its own check must fit."""
+    if i + 6 > len(b) or b[i] != 0xFF or b[i + 1] & 0xFE != 0xF8 or b[i + 3] & 1 or b[i + 3] >> 4 > 10:
+        return 0, 0
+    size, rate, lead = b[i + 2] >> 4, b[i + 2] & 15, b[i + 4]
+    more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
+    at = i + 5 + more
+    wide, tail = {6: 1, 7: 2}.get(size, 0), {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if size == 0 or rate == 15 or at + wide + tail >= len(b):
+        return 0, 0
+    samples = int.from_bytes(b[at : at + wide], "big") + 1 if wide else 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+    at += wide + tail
+    crc, r = _crc_table(8, 0x07), 0
+    for x in b[i:at]:
+        r = crc[r ^ x]
+    return (at + 1 - i, samples) if r == b[at] else (0, 0)
+
+
 def _flac(b: bytes, at: int) -> int:
-    i, last, first = at + 4, False, True
+    """Frames carry no lengths: one ends where its check fits and a frame follows, or all samples are there."""
+    i, last, total = at + 4, False, None
     while not last:
         if i + 4 > len(b):
             return 0
         last, kind, n = bool(b[i] & 0x80), b[i] & 0x7F, int.from_bytes(b[i + 1 : i + 4], "big")
-        if kind == 127 or (first and (kind, n) != (0, 34)) or i + 4 + n > len(b):
+        if kind == 127 or (total is None and (kind, n) != (0, 34)) or i + 4 + n > len(b):
             return 0
-        i, first = i + 4 + n, False
-    return len(b) - at if i == len(b) or b[i : i + 1] == b"\xff" and b[i + 1] & 0xFC == 0xF8 else 0  # frames carry no lengths: to the end
-
-
-@cache
-def _ogg_table() -> tuple[int, ...]:
-    out = []
-    for x in range(256):
-        r = x << 24
-        for _ in range(8):
-            r = (r << 1) ^ 0x04C11DB7 if r & 0x80000000 else r << 1
-        out.append(r & 0xFFFFFFFF)
-    return tuple(out)
+        if total is None:
+            total = int.from_bytes(b[i + 17 : i + 22], "big") & 0xFFFFFFFFF
+        i += 4 + n
+    crc, done, known = _crc_table(16, 0x8005), 0, total or 0
+    while not known or done < known:
+        head, samples = _flac_header(b, i)
+        if not head:
+            break
+        r, end = 0, 0
+        for k in range(i, len(b)):
+            r = ((r << 8) & 0xFFFF) ^ crc[(r >> 8) ^ b[k]]
+            if r == 0 and k > i + head and (not known or done + samples >= known or k + 1 == len(b) or _flac_header(b, k + 1)[0]):
+                end = k + 1
+                break
+        if not end:
+            break
+        i, done = end, done + samples
+    return i - at if done >= known else 0
 
 
 def _ogg(b: bytes, at: int) -> int:
-    crc, i, ended = _ogg_table(), at, False
+    crc, i, ended = _crc_table(32, 0x04C11DB7), at, False
     while b[i : i + 4] == b"OggS" and i + 27 <= len(b) and b[i + 4] == 0:
         n = b[i + 26]
         size = 27 + n + sum(b[i + 27 : i + 27 + n])
