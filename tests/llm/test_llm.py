@@ -5,10 +5,14 @@ import collections
 import gzip
 import hashlib
 import html
+import io
+import itertools
 import json
+import math
 import random
 import re
 import struct
+import wave
 import zlib
 
 import duckdb
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from gristmill.llm import bpe, chat_trees, components, html_consensus, jaccard_join, media_sniff, mixing, quality_rules, secret_scan, sharding, warc
+from gristmill.llm import bpe, chat_trees, common, components, html_consensus, jaccard_join, media_sniff, mixing, quality_rules, secret_scan, sharding, warc
 
 DATA = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -161,6 +165,22 @@ def test_quality(real):
     assert quality_rules.repeats("a b c d e f g h x a b c d e f g h y") == [(8, [0, 9])]
 
 
+def test_maximal_repeats():
+    rng = random.Random(7)
+    for _ in range(200):
+        w = [rng.choice("abc") for _ in range(rng.randrange(40))]
+        spots = collections.defaultdict(list)
+        for i, j in itertools.combinations(range(len(w) + 1), 2):
+            spots[tuple(w[i:j])].append(i)
+        side = lambda s, p, k: {w[i + k] if 0 <= i + k < len(w) else None for i in p}
+        want = [(len(s), p) for s, p in spots.items() if len(s) > 1 and len(p) > 1 and len(side(s, p, len(s))) > 1 and len(side(s, p, -1)) > 1]
+        assert sorted(quality_rules.repeats(" ".join(w), 2)) == sorted(want)
+    assert quality_rules.repeats(None) == quality_rules.repeats("") == []
+    for t, n in (("x " * 200_000, 199_999), ("x y " * 100_000, 199_998)):
+        (q,) = quality_rules.analyse([t])
+        assert q["longest_repeat"] == n and q["n_repeat_words"] == q["n_words"]
+
+
 def test_quality_query(spark, tmp_path):
     clean = " ".join(f"w{i}" for i in range(400))
     passage = " ".join(f"p{i}" for i in range(60))
@@ -209,9 +229,28 @@ def test_mixing(spark, tmp_path):
 
 
 def test_mixing_edges(spark):
-    assert mixing.mix(docs(spark, [])).count() == 0
+    assert mixing.mix(docs(spark, [])).count() == 0 and mixing.apply_mix(docs(spark, [])).count() == 0
     same = docs(spark, ["a b", "a b", None], [1, 1, None])
     assert mixing.mix(same).count() == 3
+    texts = [f"w{i % 7} " * (5 + i % 3) for i in range(60)]
+    names = {c: F.lit(c) for c in ("_n", "_d", "_s", "_z", "_nth", "_number", "_hash", "_rank", "_name", "_copies", "copies", "size", "target")}
+    given = docs(spark, texts, [i // 4 for i in range(60)]).withColumns(names)
+    got = mixing.apply_mix(given)
+    assert got.columns == given.columns and all(r[c] == c for r in got.collect() for c in names)
+    again = mixing.apply_mix(given.repartition(3))
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+    assert got.groupBy("text", "doc_id").count().agg(F.max("count")).first()[0] <= 3 * 4
+
+
+def test_mixing_small_sources(spark, monkeypatch):
+    """Sources of a few documents come near their targets, whether they are folded or share the rest."""
+    rng = random.Random(8)
+    rows = [(k, "w " * max(1, int(rng.lognormvariate(5, 1))), "en", f"s{k % 12}", 0) for k in range(12 * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for head, most in ((256, 0.02), (5, 0.25)):
+        monkeypatch.setattr(mixing, "HEAD", head)
+        for r in mixing.mix(df).groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("x")).collect():
+            assert abs(r.x - r.t) <= most * r.t, (head, r)
 
 
 # ---- media
@@ -229,6 +268,13 @@ def test_media_formats():
         assert media_sniff.sniff(data) == [(0, len(data), kind)]
         assert media_sniff.sniff(b"junk" + data + b"tail")[0] == (4, len(data), kind)
         assert media_sniff.sniff(data[:-1]) == [] or kind == "video/mp4"
+    crc = lambda d, bits, poly: __import__("functools").reduce(lambda r, x: ((r << 8) & (2**bits - 1)) ^ media_sniff._crc_table(bits, poly)[(r >> (bits - 8)) ^ x], d, 0)
+    head = lambda k: (h := bytes([0xFF, 0xF8, 0x60, 0x02, k, 15])) + bytes([crc(h, 8, 0x07)])
+    frame = lambda k: (f := head(k) + bytes([0, k])) + crc(f, 16, 0x8005).to_bytes(2, "big")
+    for known in (48, 0):
+        flac = b"fLaC" + b"\x80\0\0\x22" + bytes(13) + known.to_bytes(5, "big") + bytes(16) + frame(0) + frame(1) + frame(2)
+        assert media_sniff.sniff(b"junk" + flac + b"between" + png) == [(4, len(flac), "audio/flac"), (11 + len(flac), len(png), "image/png")]
+    assert media_sniff.sniff(b"fLaC" + b"\x80\0\0\x22" + bytes(13) + (48).to_bytes(5, "big") + bytes(16) + frame(0) + frame(1)[:-1]) == []
     broken = bytearray(png)
     broken[40] ^= 1
     assert media_sniff.sniff(bytes(broken)) == []
@@ -241,7 +287,17 @@ def test_media(spark, tmp_path):
         want = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
-        assert r.media_bytes == len(want) + 44 and "type=audio/wav" in r.feature
+        held = io.BytesIO()
+        with wave.open(held, "wb") as w:
+            w.setparams((1, 1, 8000, 0, "NONE", ""))
+            w.writeframes(want)
+        assert (r.media_bytes, r.media_sha256) == (len(held.getvalue()), hashlib.sha256(held.getvalue()).hexdigest())
+        told = dict(x.split("=") for x in r.feature.split(";"))
+        p = [n / len(want) for n in collections.Counter(want).values()]
+        assert (told["declared"], told["type"], told["embedded"], int(told["samples"])) == ("application/octet-stream", "audio/wav", "none", len(want))
+        assert float(told["mean"]) == pytest.approx(sum(want) / len(want), abs=1e-4) and float(told["entropy"]) == pytest.approx(-sum(x * math.log2(x) for x in p), abs=1e-4)
+        assert float(told["rms"]) == pytest.approx(math.sqrt(sum((x - 128) ** 2 for x in want) / len(want)), abs=1e-4)
+        assert int(told["crossings"]) == sum((a >= 128) != (b >= 128) for a, b in zip(want, want[1:], strict=False))
     m = spark.createDataFrame([(1, bytearray(b"xx" + media_sniff.wav(b"\x80" * 8)), "image/png"), (2, None, None)], "i int, b binary, t string")
     out = media_sniff.sniff_media(m, "b", "t")
     assert [r.sniffed.type for r in out.orderBy("i").collect()] == ["image/png", None]
@@ -278,6 +334,30 @@ def test_shards(spark, tmp_path):
     assert by[0].size == 1 and by[0].text_crc32 == 0 and by[7 + 1].text_crc32 == zlib.crc32(EDGES[8].encode())
 
 
+def test_ranks(spark):
+    """Ranks are gapless in each key, in order, whatever the ties and names."""
+    rows = [(None if i % 3 == 0 else i % 5, i % 4, "u", "v") for i in range(400)]
+    df = spark.createDataFrame(rows, "key int, by int, _part string, _in string")
+    got = common.global_rank(df, ["key"], [F.col("by")], "rank").collect()
+    for k in {r[0] for r in rows}:
+        mine = sorted((r["rank"], r.by) for r in got if r.key == k)
+        assert [a for a, _ in mine] == list(range(len(mine))) and [b for _, b in mine] == sorted(b for _, b in mine)
+    assert {(r._part, r._in) for r in got} == {("u", "v")}
+    out = sharding.assign_shards(spark.createDataFrame([(None, "u", 1)] * 50 + [(k, "u", 1) for k in range(50)], "k long, _part string, slot int"), "k", 3)
+    assert sorted(out.columns) == ["_part", "grown_shard", "k", "shard", "slot"] and {r._part for r in out.collect()} == {"u"}
+    assert sharding.assign_shards(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
+def test_look_up(spark):
+    rows = [("a", i) for i in range(50)] + [(None, i) for i in range(30)] + [(f"k{i}", i) for i in range(20)]
+    df = common.cut(spark.createDataFrame(rows, "key string, _hit int"))
+    found = spark.createDataFrame([("a", 1), ("k3", 2), ("zz", 3)], "key string, v int")
+    want = sorted((str(k), i, str({"a": 1, "k3": 2}.get(k))) for k, i in rows)
+    for hot in (["a", "zz"], ["k3"], []):
+        got = common.look_up(df, "key", found, spark.createDataFrame([(h,) for h in hot], "key string"))
+        assert sorted((str(r.key), r._hit, str(r.v)) for r in got.collect()) == want and got.columns == ["key", "_hit", "v"]
+
+
 # ---- chat
 
 
@@ -327,8 +407,13 @@ def test_warc(spark, tmp_path):
     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert got == sorted("Row(" + ", ".join(f"{k}={v!r}" for k, v in zip(names, w, strict=True)) + ")" for w in want)
     warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"), least=5)
-    seen = [h for f in (tmp_path / "w").glob("*.gz") for _, h, _ in warc.parse_records(gzip.decompress(f.read_bytes()))]
+    files = list((tmp_path / "w").rglob("part-*"))
+    seen = [h for f in files for _, h, _ in warc.parse_records(gzip.decompress(f.read_bytes()))]
     assert len(seen) == 3 * len(rows)
+    each = [list(warc.parse_records(m)) for f in files for m in warc.members(f.read_bytes())]
+    assert len(each) == 3 * len(rows) and all(len(m) == 1 for m in each)  # a member for each record
+    with pytest.raises(ValueError):
+        list(warc.members(files[0].read_bytes()[:-30]))
     whole = warc.assemble(warc.read_warc(spark, str(tmp_path / "w"), True)).collect()
     assert len(whole) == len(rows) and all(r.request and len(r.metadata) == 1 for r in whole)
     assert sum(r.response.record_type == "revisit" for r in whole) == 2
@@ -338,6 +423,30 @@ def test_warc(spark, tmp_path):
     assert warc.assemble(lone).first().response is None
 
 
+def test_warc_volumes(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h/{i}", ("x" * 500 if i % 3 else f"{i} " * 100)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    want = sorted(map(str, warc.assemble(warc.read_warc(spark, _written(warc, pages, tmp_path / "a"), True)).select("response.record_type", "response.payload_digest", "metadata").collect()))
+    monkeypatch.setattr(warc, "VOLUME_BYTES", 5000)
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    got = warc.assemble(warc.read_warc(spark, _written(warc, pages, tmp_path / "b"), True)).select("response.record_type", "response.payload_digest", "metadata")
+    drop = lambda s: re.sub(r"offset=\d+|file='[^']*'|record_id='[^']*'", "", s)
+    assert sorted(drop(str(r)) for r in got.collect()) == sorted(map(drop, want))
+    files = list((tmp_path / "b").rglob("part-*"))
+    assert len(files) > 10 and len(list((tmp_path / "a").rglob("part-*"))) == 1
+    bad = tmp_path / "c"
+    bad.mkdir()
+    text = next(warc.capture_records("n", 1, "http://h", "<p>", "A" * 32, None))
+    (bad / "x").write_bytes(warc.member(text))
+    with pytest.raises(Exception, match="digest"):
+        warc.read_warc(spark, str(bad)).collect()
+
+
+def _written(warc, pages, path):
+    warc.write_warc(pages, str(path))
+    return str(path)
+
+
 # ---- BPE
 
 
@@ -357,6 +466,16 @@ def test_bpe(spark, tmp_path, real):
     assert [list(r.ids) for r in out] == [enc.encode_ordinary(t or "") for t in texts]
     told = bpe.tokenize(df).orderBy("doc_id").collect()
     assert all(r.round_trip for r in told) and [list(r.ids) for r in told] == [list(r.ids) for r in out]
+    rng, letters = random.Random(9), "abcdefghijklmnopqrstuvwxyz"
+    long = ["".join(rng.choice(a) for _ in range(3000)) for a in (letters, "acgt", "ab", "thereinos", "\u4e00\u4e8c\u4e09\u5341\u767e", "é\u0301ñ")]
+    long += ["a" * 30_000, "ab" * 1500 + "a", base64.b64encode(rng.randbytes(3000)).decode(), "=" * 1003, " " * 3001, "-_" * 400, rng.randbytes(2000).hex()]
+    long += ["".join(rng.choice("thieranosgABC"[: rng.randrange(1, 13)]) for _ in range(rng.randrange(1, 200))) for _ in range(60)]
+    words = bpe.words_of(bpe.default_path())
+    told = words.encode(long)
+    assert [list(map(int, t.split())) for t in told] == list(map(enc.encode_ordinary, long))
+    assert [raw.decode() for _, raw in words.decode(told)] == long
+    odd = df.withColumns({"_bpe": F.lit(1), "ids": F.lit("x"), "same": F.lit(2)})
+    assert {r._bpe for r in bpe.tokenize(odd).collect()} == {1}
     with pytest.raises(Exception, match="vocabulary"):
         bpe.decode(spark.createDataFrame([([60000],)], "ids array<int>")).collect()
 
@@ -407,7 +526,38 @@ def test_jaccard(spark, seed, blocks, size, least, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_join(list(zip(ids, texts, strict=True)), size, least)
 
 
-@pytest.mark.parametrize("least", [85, 80])
+@pytest.mark.parametrize("least,size", [(20, 1), (34, 1), (50, 2), (95, 4)])
+def test_jaccard_thresholds(spark, least, size, monkeypatch):
+    """Links of any similarity, in candidate components that exceed LISTED blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jaccard_join, "LISTED", 2)
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 20_000)
+    monkeypatch.setattr(jaccard_join, "CHUNK_CHARS", 2000)
+    rng = random.Random(least)
+    texts = [" ".join(f"c{i}" for i in range(400)), " ".join(f"c{i}" for i in range(1000))]
+    for _ in range(10):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice((3, 12, 40, 150)))]
+        for _ in range(rng.randrange(1, 8)):
+            w = base[: rng.randrange(1, len(base) + 1)] + [f"n{rng.randrange(10**6)}" for _ in range(rng.randrange(0, len(base)))]
+            texts.append(" ".join(w))
+    got = jaccard_join.jaccard_components(docs(spark, texts).repartition(3), size=size, least=least).collect()
+    want = brute_join(list(enumerate(texts)), size, least)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    assert least > 50 or len({c for *_, c in want}) < len(texts) - 2
+
+
+def test_keep_first(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text), (3, text), (3, text), (None, text), (3, "other words"), (None, "alone"), (None, "alone"), (None, None), (None, None), (9, ""), (9, ""), (10, "")]
+    df = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, _first string, _id int")
+    got = jaccard_join.keep_first(df)
+    assert got.columns == df.columns and {(r._first, r._id) for r in got.collect()} == {("x", 5)}
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("3", text), ("3", "other words"), ("None", "alone"), ("None", "None"), ("9", ""), ("10", "")])
+    with pytest.raises(ValueError):
+        jaccard_join.keep_first(df, least=0)
+
+
+@pytest.mark.parametrize("least", [95, 85, 80, 50, 34, 20])
 def test_jaccard_signatures_meet(least):
     """Any two linked sets share a signature, whatever the frequencies."""
     rng = random.Random(4)
@@ -415,7 +565,7 @@ def test_jaccard_signatures_meet(least):
         n = rng.choice((1, 2, 3, 5, 9, 30, 70, 130, 300))
         a = set(rng.sample(range(10**6), n))
         b = set(a)
-        for _ in range(rng.randrange(0, n // 8 + 1)):
+        for _ in range(rng.randrange(0, n * (100 - least) // 110 + 1)):
             b.remove(rng.choice(sorted(b)))
             if rng.random() < 0.5:
                 b.add(rng.randrange(10**6, 2 * 10**6))
@@ -458,6 +608,48 @@ def test_html_brute():
         assert html_consensus.extract(h, "html/body/article") == "\n\n".join(p for p in want if p)
 
 
+def test_html_whole_query(spark):
+    """Scores, votes, joins and extraction against the markup that all pages share."""
+    want = {}
+    for k, h in duckdb.sql(f"SELECT page_id, html FROM '{DATA}/pages.parquet'").fetchall():
+        m = re.search(r"<article>(.*?)</article>", h, re.S)
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda x: " " if x[0] == "<br>" else "", p)).split()) for p in re.split(r"</?(?:p|h1)>", m[1])]
+        want[k] = "\n\n".join(p for p in parts if p)
+    assert {r.page_id: r.text for r in html_consensus.op10_html_consensus(spark, DATA).collect()} == want
+
+
+def test_html_hosts(spark, monkeypatch):
+    """Consensus by brute force: a page's choice counts for its host, equal votes go to the shorter, then smaller path."""
+    p = lambda c, n: f'<div class="{c}"><p>{" ".join(["text of it"] * n)}</p></div>'
+    kinds = ["aa", "bb", "ccc"]
+    rows = [(i, f"http://h{i % 4}.x/{i}" if i % 9 else None, f'<body><div class="x">{p(kinds[i * i % 3], 30)}</div><ul><li><a href=x>links</a></ul></body>') for i in range(40)]
+    rows += [(100, "http://tie.x/a", f"<body>{p('bb', 30)}<hr></body>"), (101, "http://tie.x/b", f"<body>{p('aa', 30)}<hr></body>")]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").withColumns({"_won": F.lit("w"), "_path": F.lit("p"), "main_text": F.lit("old"), "votes": F.lit(1)})
+    votes = collections.defaultdict(collections.Counter)
+    for _, u, h in rows:
+        if u:
+            votes[u.split("/")[2]][html_consensus.votes(h)[0][0]] += 1
+    want = {k: min(v, key=lambda x: (-v[x], len(x), x)) for k, v in votes.items()}
+    assert {r.host: r.path for r in html_consensus.winning_paths(df).collect()} == want and want["tie.x"].endswith("div.aa")
+    told = {i: html_consensus.extract(h, want.get(u.split("/")[2]) if u else None) for i, u, h in rows}
+    for most in (50_000, 0):
+        monkeypatch.setattr(html_consensus, "BROADCAST_HOSTS", most)
+        got = html_consensus.extract_main(df).collect()
+        assert {r.page_id: r.main_text for r in got} == told and {(r._won, r._path, r.votes) for r in got} == {("w", "p", 1)}
+
+
+def test_html_broken():
+    body = " ".join(["some words of the article"] * 20)
+    extract = lambda inner: html_consensus.extract(f"<body><article><p>{body}</p>{inner}</article></body>", None).removeprefix(body).strip()
+    for tag in ("svg", "object data=x", "select", "template", "audio", "noscript"):
+        assert extract(f"<{tag}><p>{body}</p>") == body  # nothing closes it
+    assert extract("<svg><text>a</text></svg><object><p>told</p></object><video>too</video>") == "told\n\ntoo"
+    assert extract('<p>so <a href="x title=y>link</a> text</p><p class="b">more "x"</p>') == 'so link text\n\nmore "x"'
+    assert extract("<p>1 <a title=\"2 > 1 and 0 < 1\" href='q'>a</a> b") == "1 a b"
+    assert extract('<div class="review"><p>a review</p></div>') in ("", "a review")
+    assert html_consensus.extract(f'<body><article><div class="review"><p>{body}</p></div></article></body>', None) == body
+
+
 def test_html_split_articles():
     text = lambda c, n: (c * 9 + " ") * (n // 10)
     want = lambda *parts: "\n\n".join(p.strip() for p in parts)
@@ -500,6 +692,27 @@ def test_html_names():
 # ---- all together
 
 
+def test_empty_tables(spark, tmp_path):
+    path = folder(
+        tmp_path,
+        documents=docs(spark, []),
+        pages=spark.createDataFrame([], "page_id long, url string, html string"),
+        conversations=spark.createDataFrame([], "conv_id long, turn long, role string, text string"),
+    )
+    for name, query in entry.queries().items():
+        if name.startswith("op"):
+            assert query(spark, path).count() == (name == "op6_chat_trees")
+    assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_any_names(spark):
+    """Columns of odd names pass through."""
+    odd = {c: F.lit(c) for c in ("_part", "_first", "_hash", "_quality", "_spans", "found", "a.b", "key")}
+    df = docs(spark, ["a b c", None, 'token = "abcdef123456"']).withColumns(odd)
+    for got in (quality_rules.quality_stats(df), secret_scan.redact_secrets(df), bpe.encode(df), media_sniff.sniff_media(df.withColumn("raw", F.encode("text", "UTF-8")), "raw")):
+        assert got.count() == 3 and {tuple(r[c] for c in odd) for r in got.collect()} == {tuple(odd)}
+
+
 def test_oracles(spark):
     c = duckdb.connect()
     for t in ("documents", "conversations", "pages"):
