@@ -1,7 +1,12 @@
 """A training corpus from documents: quality rules, near-duplicate removal, secret redaction, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next one's docs. All but the last return the columns of documents.
+next one's docs. All but the last return the columns of documents. What a stage has read is deleted once the next
+one is written; the last one's input stays, as its result is read from it.
+
+Cases, in every stage: a null or empty text fails the quality rules, so only they meet one; a null doc_id or source is
+kept as it is, in the join as its operator says; repeated rows become one in the join; texts of any length are taken
+whole; columns of any name pass through, but for the last stage's own; empty documents give an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import bpe, jaccard_join, mixing, quality_rules, secret_scan
-from gristmill.llm.common import ensure_checkpoint_dir, small_batches
+from gristmill.llm.common import ensure_checkpoint_dir, remove, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,4 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
     return docs
