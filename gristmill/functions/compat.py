@@ -103,8 +103,7 @@ def width_bucket(x: Column, low: float, high: float, count: int) -> Column:
 
 def trigrams(s: Column) -> Column:
     """Distinct trigrams of the lower-case words, each with two blanks before and one after."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    padded = F.transform(words(s), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
@@ -137,10 +136,14 @@ def ltree_subpath(a: Column, offset: int, length: int) -> Column:
     return F.array_join(F.slice(F.split(a, r"\."), offset + 1, length), ".")
 
 
+def words(s: Column) -> Column:
+    """Lower-case runs of letters and digits, in order."""
+    return F.filter(F.split(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+
+
 def lexemes(s: Column, stop: tuple[str, ...] = ()) -> Column:
     """array<struct<lexeme, positions>>: lower-case words with their places, sorted."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("pos")))
+    placed = F.transform(words(s), lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("pos")))
     kept = F.filter(placed, lambda p: ~p.lexeme.isin(*stop)) if stop else placed
     names = F.array_sort(F.array_distinct(F.transform(kept, lambda p: p.lexeme)))
     return F.transform(names, lambda n: F.struct(n.alias("lexeme"), F.transform(F.filter(kept, lambda p: p.lexeme == n), lambda p: p.pos).alias("positions")))
@@ -148,7 +151,7 @@ def lexemes(s: Column, stop: tuple[str, ...] = ()) -> Column:
 
 def matches(s: Column, query: str) -> Column:
     """Full-text match: words with & | ! and parentheses, compiled on the driver."""
-    names = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != ""))
+    names = F.array_distinct(words(s))
     parts = re.findall(r"[&|!()]|[^\s&|!()]+", query)
     at = 0
 

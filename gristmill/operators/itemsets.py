@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def frequent_itemsets(rows: DataFrame, minsup: int, most: int = 20) -> DataFrame:
-    """rows: (tid, item). (items array, support): all itemsets of at least minsup transactions. Repeated items of a
-    transaction count once. Each level joins the itemsets that a transaction has with the frequent items beyond
-    their last one, and counts with partial aggregation; only prefixes that are frequent grow."""
+def frequent_itemsets(rows: DataFrame, minsup: int) -> DataFrame:
+    """rows: (tid, item). (items array, support, share): all itemsets of at least minsup transactions, with their share
+    of the transactions. Repeated items of a transaction count once, null ones not at all. The sets of a level that
+    differ in their last item only give the candidates of the next; a transaction makes a row for each candidate that
+    it holds, so infrequent combinations make none. It ends at the first level without a frequent set."""
     base = rows.select("tid", "item").filter("item is not null").distinct()
+    n = rows.select(F.count_distinct("tid")).first()[0]
     ones = base.groupBy("item").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= minsup).checkpoint()
     base = base.join(ones.select("item"), "item").select("tid", "item").checkpoint()
-    out = ones.select(F.array("item").alias("items"), "support")
-    level = base.select("tid", F.array("item").alias("items"), F.col("item").alias("last"))
-    for _ in range(1, most):
-        grown = level.join(base, "tid").filter("item > last").select("tid", F.concat("items", F.array("item")).alias("items"), F.col("item").alias("last"))
+    out = found = ones.select(F.array("item").alias("items"), "support")
+    level = base.select("tid", F.array("item").alias("items"))
+    while True:
+        shared = F.slice("items", 1, F.size("items") - 1)
+        last = found.select("items", shared.alias("head"), F.element_at("items", -1).alias("last"))
+        other = last.select(F.col("head").alias("_head"), F.col("last").alias("next"))
+        candidates = last.join(other, (F.col("head") == F.col("_head")) & (F.col("last") < F.col("next"))).select(F.col("items").alias("_items"), "next")
+        grown = level.join(candidates, F.col("items") == F.col("_items")).join(base.withColumnRenamed("tid", "_tid"), (F.col("tid") == F.col("_tid")) & (F.col("item") == F.col("next")))
+        grown = grown.select("tid", F.concat("items", F.array("item")).alias("items")).checkpoint()
         found = grown.groupBy("items").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= minsup).checkpoint()
         if found.isEmpty():
-            break
+            return out.withColumn("share", F.col("support") / F.lit(max(n, 1)))
         out = out.union(found)
-        level = grown.join(found.select("items"), "items", "left_semi").checkpoint()
-    return out
+        level = grown.join(found.select("items"), "items", "left_semi")

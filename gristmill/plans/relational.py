@@ -31,7 +31,7 @@ SHARED = {
     "q12_full_join": """SELECT c.k AS ck, s.k AS sk, c.n AS cn, s.n AS sn FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} WHERE c_acctbal > 0 GROUP BY 1) c
         FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM {supplier} GROUP BY 1) s ON c.k = s.k""",
     "q13_exists": "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)",
-    "q14_not_exists": "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
+    "q14_not_exists": "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
     "q15_in_subquery": "SELECT count(*) AS n FROM {lineitem} WHERE l_partkey IN (SELECT p_partkey FROM {part} WHERE p_size > 40)",
     "q16_not_in_with_null": "SELECT count(*) AS n FROM {nation} WHERE n_nationkey NOT IN (SELECT nullif(r_regionkey, 0) FROM {region})",
     "q17_scalar_subquery": "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 0.95 * (SELECT max(o_totalprice) FROM {orders})",
@@ -63,7 +63,7 @@ SHARED = {
     "q36_union": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}",
     "q37_intersect": "SELECT o_custkey AS k FROM {orders} WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'P'",
     "q38_intersect_all": "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}",
-    "q39_except": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}",
+    "q39_except": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'P'",
     "q40_except_all": "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}",
     "q41_cte": """WITH big AS (SELECT o_custkey, sum(CAST(o_totalprice AS decimal(18,2))) AS t FROM {orders} GROUP BY 1)
         SELECT c_mktsegment, count(*) AS n FROM big JOIN {customer} ON c_custkey = o_custkey WHERE t > 1000000 GROUP BY c_mktsegment""",
@@ -76,8 +76,8 @@ SHARED = {
         round(cbrt(p_retailprice), 6) AS cb, round(degrees(atan2(p_size, 3)), 6) AS deg, pi() AS p FROM {part}""",
     "q45_date_functions": """SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(quarter FROM o_orderdate) AS q, extract(day FROM o_orderdate) AS d,
         CAST(date_trunc('month', o_orderdate) AS date) AS m, extract(week FROM o_orderdate) AS w FROM {orders}""",
-    "q46_wisconsin_select": "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_orderkey BETWEEN 100 AND 1000",
-    "q47_wisconsin_join": "SELECT count(*) AS n, max(l_quantity) AS q FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_orderkey < 1000",
+    "q46_wisconsin_select": "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_orderkey BETWEEN (SELECT max(o_orderkey) * 0.10 FROM {orders}) AND (SELECT max(o_orderkey) * 0.20 FROM {orders})",
+    "q47_wisconsin_join": "SELECT count(*) AS n, max(l_quantity) AS q FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_orderkey < (SELECT max(o_orderkey) * 0.10 FROM {orders})",
     "q48_wisconsin_min": "SELECT l_suppkey % 100 AS g, min(l_partkey) AS least_part FROM {lineitem} GROUP BY 1",
     "q49_bank_balance": """SELECT c_nationkey, count(*) AS accounts, CAST(sum(CAST(c_acctbal AS decimal(18,2))) AS double) AS balance FROM {customer} GROUP BY c_nationkey""",
     "q64_regression_aggs": """SELECT p_brand, round(regr_sxx(p_retailprice, p_size), 3) AS sxx, round(regr_sxy(p_retailprice, p_size), 6) AS sxy,

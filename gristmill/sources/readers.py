@@ -2,29 +2,64 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Escapes of the text dialect, but for the backslash's own.
+_ESCAPES = {"\t": "\\t", "\n": "\\n", "\r": "\\r", "\b": "\\b", "\f": "\\f", "\v": "\\v"}
+
+
+def _unescaped(field: Column) -> Column:
+    pieces = F.split(field, r"\\\\")  # between doubled backslashes
+
+    def plain(p: Column) -> Column:
+        for c, told in _ESCAPES.items():
+            p = F.replace(p, F.lit(told), F.lit(c))
+        return F.replace(p, F.lit("\\"), F.lit(""))
+
+    return F.array_join(F.transform(pieces, plain), "\\")
 
 
 def copy_from(spark: SparkSession, path: str, schema: str, csv: bool = False, delimiter: str | None = None, null: str | None = None, header: bool = False, quote: str = '"', escape: str | None = None) -> DataFrame:
-    """COPY FROM: text (tabs, \\N for null, backslash escapes) or csv (commas, empty for null, quotes)."""
+    """COPY FROM: text (tabs, \\N for null, backslash escapes, a row for each line) or csv (commas, empty for null,
+    quotes). A row with too few or too many fields is an error."""
     if header and not csv:
         raise ValueError("HEADER needs CSV mode")
-    options = {"sep": delimiter or ("," if csv else "\t"), "nullValue": null if null is not None else ("" if csv else "\\N"), "header": header, "multiLine": csv, "quote": quote if csv else "", "escape": (escape or quote) if csv else "\\", "mode": "FAILFAST"}
-    df = spark.read.options(**options).schema(schema).csv(path)
     if csv:
-        return df
-    plain = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?<!\\)\\t", "\t"), r"(?<!\\)\\n", "\n"), r"\\\\", r"\\")
-    return df.select(*[plain(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+        options = {"sep": delimiter or ",", "nullValue": null if null is not None else "", "header": header, "multiLine": True, "quote": quote, "escape": escape or quote, "mode": "FAILFAST"}
+        return spark.read.options(**options).schema(schema).csv(path)
+    fields = T.StructType.fromDDL(schema).fields
+    parts = F.split(F.col("value"), rf"(?<!(?<!\\)(?:\\\\){{0,50}}\\){re.escape(delimiter or chr(9))}")
+    told = F.when(F.size(parts) == len(fields), parts).otherwise(F.raise_error(F.concat(F.lit("wrong number of fields: "), F.col("value"))))
+    rows = spark.read.option("lineSep", "\n").text(path).filter("value <> '\\\\.'").select(told.alias("_f"))
+    mark = "\\N" if null is None else null
+    return rows.select(*[F.when(F.col("_f")[k] != mark, _unescaped(F.col("_f")[k])).cast(f.dataType).alias(f.name) for k, f in enumerate(fields)])
 
 
 def copy_to(df: DataFrame, path: str, csv: bool = False, delimiter: str | None = None, null: str | None = None, header: bool = False, quote_all: bool = False) -> None:
-    options = {"sep": delimiter or ("," if csv else "\t"), "nullValue": null if null is not None else ("" if csv else "\\N"), "header": header, "escape": '"' if csv else "\\", "quoteAll": quote_all, "emptyValue": '""' if csv else ""}
-    df.write.options(**options).csv(path)
+    """COPY TO, of a table or a query, in the dialects of copy_from."""
+    if csv:
+        df.write.options(sep=delimiter or ",", nullValue=null if null is not None else "", header=header, escape='"', quoteAll=quote_all, emptyValue='""').csv(path)
+        return
+    sep = delimiter or "\t"
+
+    def field(c: str) -> Column:
+        v = F.replace(F.col(f"`{c}`").cast("string"), F.lit("\\"), F.lit("\\\\"))
+        for x, told in _ESCAPES.items():
+            v = F.replace(v, F.lit(x), F.lit(told))
+        v = v if sep in _ESCAPES else F.replace(v, F.lit(sep), F.lit("\\" + sep))
+        return F.coalesce(v, F.lit("\\N" if null is None else null))
+
+    if sep not in _ESCAPES and len(sep) > 1:
+        raise ValueError("the delimiter is one character")
+    df.select(F.concat_ws(sep, *[field(c) for c in df.columns]).alias("value")).write.text(path)
 
 
 def transactions(spark: SparkSession, path: str, delimiter: str = " ", shift: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ from gristmill.operators import fcm, series
 from gristmill.plans.common import TABLES
 
 DATA = "/root/testdata/sf0.001"
-NAMES = [n for n in entry.oracle_sql() if n[0] in "qrm" and n[1].isdigit()]
+NAMES = [n for n in entry.oracle_sql() if n[0] in "qrms" and n[1].isdigit()]
 
 
 @pytest.fixture(scope="module")
