@@ -126,14 +126,17 @@ def members(raw: bytes) -> Iterator[bytes]:
     if raw[:2] != b"\x1f\x8b":
         yield raw
         return
-    while raw:
-        opened = zlib.decompressobj(wbits=31)
-        data = opened.decompress(raw)
-        if not opened.eof:
-            raise ValueError("the archive ends within a member")
-        raw = opened.unused_data
-        if data:
-            yield data
+    view, at = memoryview(raw), 0
+    while at < len(raw):
+        opened, data = zlib.decompressobj(wbits=31), []
+        while not opened.eof:
+            piece = view[at : at + 4096]  # what a member leaves of it is copied, so it is short
+            if not piece:
+                raise ValueError("the archive ends within a member")
+            data.append(opened.decompress(piece))
+            at += len(piece) - len(opened.unused_data)
+        if any(data):
+            yield b"".join(data)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
