@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -150,8 +151,13 @@ def lexemes(s: Column, stop: tuple[str, ...] = ()) -> Column:
 
 
 def matches(s: Column, query: str) -> Column:
-    """Full-text match: words with & | ! and parentheses, compiled on the driver."""
+    """Full-text match: words with & | ! and parentheses."""
     names = F.array_distinct(words(s))
+    return boolean_query(query, lambda w: F.array_contains(names, w.lower()))
+
+
+def boolean_query(query: str, leaf: Callable[[str], Column]) -> Column:
+    """Terms with & | ! and parentheses, compiled on the driver; leaf gives a term's condition."""
     parts = re.findall(r"[&|!()]|[^\s&|!()]+", query)
     at = 0
 
@@ -185,7 +191,9 @@ def matches(s: Column, query: str) -> Column:
                 raise ValueError(f"syntax error in query: {query}")
             at += 1
             return out
-        return F.array_contains(names, p.lower())
+        if p in "&|)":
+            raise ValueError(f"syntax error in query: {query}")
+        return leaf(p)
 
     out = disjunction()
     if at != len(parts):
