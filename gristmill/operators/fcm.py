@@ -6,7 +6,9 @@ call. Distances are squared and their exponent is 2 / (1 - m), as in the reprodu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,18 +54,36 @@ def fuzzy_c_means(points: DataFrame, d: int, k: int, m: float = 2.0, eps: float
     log = []
     c: list[list[float]] = []
     for s in range(1, itermax + 1):
+        began = time.perf_counter()
         c = centroids(now, d, k, m)
         after = now.withColumn("_u", memberships(F.col("x"), c, m))
         moved = F.max(F.array_max(F.zip_with("u", "_u", lambda a, b: F.abs(a - b))))
         after = after.checkpoint()
-        delta = after.agg(moved).first()[0]
+        delta, n = after.agg(moved, F.count(F.lit(1))).first()
         now = after.select("i", "x", F.col("_u").alias("u"))
-        log.append({"d": d, "k": k, "s": s, "delta": delta})
+        log.append({"d": d, "k": k, "n": n, "s": s, "delta": delta, "runtime": time.perf_counter() - began})
         if delta is None or delta < eps:
             break
     return now, c, log
 
 
+def protocol(spark: SparkSession, log: list[dict]) -> DataFrame:
+    """The rounds as rows: delta, dimensions, clusters, points, round, seconds."""
+    return spark.createDataFrame([(r["delta"], r["d"], r["k"], r["n"], r["s"], r["runtime"]) for r in log], "delta double, d int, k int, n long, s int, runtime double")
+
+
+def views(rated: DataFrame, centres: list[list[float]]) -> dict[str, DataFrame]:
+    """What a run may be looked at by: SH (i, x), SV (i, l, val), U (i, j, val), C (j, l, val) and SD (i, j, dist), all
+    numbered from 1."""
+    spark = rated.sparkSession
+    c = spark.createDataFrame([(j, l, float(v)) for j, row in enumerate(centres, 1) for l, v in enumerate(row, 1)], "j int, l int, val double")
+    each = F.array(*[F.struct(F.lit(j).alias("j"), F.array(*map(F.lit, row)).alias("c")) for j, row in enumerate(centres, 1)])
+    apart = lambda s: F.sqrt(F.aggregate(F.zip_with("x", s.c, lambda a, b: F.pow(a - b, F.lit(2.0))), F.lit(0.0), lambda t, v: t + v))
+    sd = rated.select("i", F.inline(F.transform(each, lambda s: F.struct(s.j.alias("j"), apart(s).alias("dist")))))
+    u = rated.select("i", F.posexplode("u").alias("j", "val")).withColumn("j", F.col("j") + 1)
+    return {"SH": rated.select("i", "x"), "SV": to_vertical(rated), "U": u, "C": c, "SD": sd}
+
+
 def to_horizontal(vertical: DataFrame, d: int) -> DataFrame:
     """(i, l, val), l from 1, to (i, x)."""
     return vertical.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("l", "val"))), lambda s: s.val).alias("x")).filter(F.size("x") == d)

@@ -186,6 +186,66 @@ def s75_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", values.host(a).alias("host"), values.masklen(a).cast("long").alias("len"))
 
 
+# ---- procedures, transactions, cursors
+
+
+@register("SELECT r_name, count(*) AS n, CASE WHEN r_regionkey = 0 THEN 'first' WHEN r_regionkey % 2 = 1 THEN 'odd' ELSE 'even' END AS kind, r_regionkey * (r_regionkey + 1) // 2 AS total, -1 AS failed FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey")
+def s76_procedure_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block with a loop over a query, WHILE, IF, CASE, a dynamic statement and a handler for its error."""
+    load(spark, sf_dir, "region").createOrReplaceTempView("s76_region")
+    load(spark, sf_dir, "nation").createOrReplaceTempView("s76_nation")
+    return spark.sql("""BEGIN
+        DECLARE found ARRAY<STRUCT<r_name: STRING, n: BIGINT, kind: STRING, total: INT, failed: INT>> = array();
+        DECLARE failed INT = 0;
+        BEGIN
+          DECLARE EXIT HANDLER FOR DIVIDE_BY_ZERO BEGIN SET failed = -1; END;
+          EXECUTE IMMEDIATE 'SELECT 1 / 0';
+        END;
+        FOR r AS SELECT r_regionkey, r_name FROM s76_region DO
+          BEGIN
+            DECLARE n BIGINT; DECLARE kind STRING; DECLARE total INT = 0; DECLARE k INT = 0;
+            EXECUTE IMMEDIATE 'SELECT count(*) FROM s76_nation WHERE n_regionkey = ?' INTO n USING r.r_regionkey;
+            IF r.r_regionkey = 0 THEN SET kind = 'first';
+            ELSE
+              CASE r.r_regionkey % 2 WHEN 1 THEN SET kind = 'odd'; ELSE SET kind = 'even'; END CASE;
+            END IF;
+            WHILE k <= r.r_regionkey DO SET total = total + k; SET k = k + 1; END WHILE;
+            SET found = array_append(found, named_struct('r_name', r.r_name, 'n', n, 'kind', kind, 'total', total, 'failed', failed));
+          END;
+        END FOR;
+        SELECT inline(found);
+      END""")
+
+
+@register("SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT 100, 7")
+def s77_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delete and an insert that are committed, and a delete that a savepoint takes back."""
+    from gristmill.operators.tables import Transaction, scratch
+
+    with scratch(spark) as name:
+        load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").write.saveAsTable(name)
+        work = Transaction(spark)
+        work.put(name, work.table(name).filter("n_nationkey >= 5"))
+        work.savepoint("kept")
+        work.put(name, work.table(name).limit(0))
+        work.rollback_to("kept")
+        work.put(name, work.table(name).union(spark.sql("SELECT 100, 7")))
+        work.commit()
+        return spark.table(name).checkpoint()
+
+
+@register("SELECT o_orderkey, n FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n, count(*) OVER () AS most FROM orders) WHERE n IN (5, 6, 7, 10, most)")
+def s78_scroll_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.streaming.cursors import ScrollCursor
+
+    c = ScrollCursor(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.asc("o_totalprice"), F.asc("o_orderkey")])
+    places = [(r.o_orderkey, c.at) for r in c.absolute(10)]
+    c.move(-2)
+    places += [(r.o_orderkey, at) for at, r in zip((7, 6, 5), c.backward(3), strict=True)]
+    places += [(r.o_orderkey, c.at) for r in c.absolute(-1)]
+    return spark.createDataFrame(places, "o_orderkey long, n long")
+
+
 # ---- the rest of the built-in functions, through the SQL entry point
 
 both(

@@ -132,3 +132,59 @@ def test_dialect_functions(spark):
     with pytest.raises(ValueError):
         s.create_operator("--", "apart")
     assert "log10" not in translate("SELECT t.log(x) FROM t")
+
+
+def test_transaction(spark, tmp_path):
+    from gristmill.operators.tables import Transaction, scratch
+
+    with scratch(spark) as a, scratch(spark) as b:
+        spark.range(5).write.saveAsTable(a)
+        work = Transaction(spark)
+        work.put(a, work.table(a).filter("id < 2"))
+        assert work.table(a).count() == 2 and spark.table(a).count() == 5
+        work.savepoint("s")
+        work.put(b, spark.range(7))
+        work.rollback_to("s")
+        with pytest.raises(Exception, match="not found|cannot be found"):
+            work.table(b).count()
+        work.release("s")
+        with pytest.raises(ValueError):
+            work.rollback_to("s")
+        # a version that fails while it is written leaves all tables as they were
+        work.put(b, spark.range(3).select(F.raise_error(F.lit("broken")).cast("long").alias("id")))
+        with pytest.raises(Exception, match="broken"):
+            work.commit()
+        assert spark.table(a).count() == 5 and not spark.catalog.tableExists(b)
+        work.put(b, spark.range(3))
+        work.commit()
+        assert spark.table(a).count() == 2 and spark.table(b).count() == 3
+        assert not [t.name for t in spark.catalog.listTables() if t.name.startswith((a + "_", b + "_"))]
+
+
+def test_scroll_cursor(spark, tmp_path):
+    from gristmill.streaming.cursors import ScrollCursor
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    c = ScrollCursor(spark.range(10).withColumn("_nth", F.lit("x")), [F.desc("id")])
+    ids = lambda rows: [r.id for r in rows]
+    assert ids(c.forward(3)) == [9, 8, 7] and ids(c.backward()) == [8] and ids(c.relative(4)) == [4]
+    assert c.move(-2) == 2 and c.at == 4 and c.move(100) == 6 and ids(c.forward()) == [] and ids(c.backward(2)) == [0, 1]
+    assert ids(c.absolute(-1)) == [0] and ids(c.absolute(0)) == [] and ids(c.absolute(11)) == [] and ids(c.absolute(1)) == [9]
+    assert ids(c.backward(5)) == [] and c.at == 0 and ids(c.forward(0)) == [] and c.forward(1)[0]._nth == "x"
+    empty = ScrollCursor(spark.range(0), [F.asc("id")])
+    assert empty.forward(2) == [] and empty.absolute(-1) == []
+
+
+def test_cluster_views(spark, tmp_path):
+    from gristmill.operators import fcm
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    points = spark.createDataFrame([(i, [float(i % 2 * 10 + i / 10), 1.0]) for i in range(8)], "i long, x array<double>")
+    rated, centres, log = fcm.fuzzy_c_means(points, 2, 2)
+    steps = fcm.protocol(spark, log).orderBy("s").collect()
+    assert [r.s for r in steps] == list(range(1, len(log) + 1)) and {(r.d, r.k, r.n) for r in steps} == {(2, 2, 8)} and all(r.runtime > 0 for r in steps)
+    v = fcm.views(rated, centres)
+    assert {k: x.count() for k, x in v.items()} == {"SH": 8, "SV": 16, "U": 16, "C": 4, "SD": 16}
+    near = {r.i: r.j for r in v["SD"].groupBy("i").agg(F.min_by("j", "dist").alias("j")).collect()}
+    most = {r.i: r.j for r in v["U"].groupBy("i").agg(F.max_by("j", "val").alias("j")).collect()}
+    assert near == most and len(set(near.values())) == 2
