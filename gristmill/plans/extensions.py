@@ -71,7 +71,7 @@ def s62_places_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""SELECT p_partkey, (x <= 30 AND y <= 12 AND x + 10 >= 5 AND y + 5 >= 2) AS o, (x >= 5 AND x + 10 <= 30 AND y >= 2 AND y + 5 <= 12) AS c, round((greatest(30, x + 10) - least(5, x)) * (greatest(12, y + 5) - least(2, y)), 6) AS u,
-    round(sqrt(pow(greatest(x - 30, 5 - (x + 10), 0), 2) + pow(greatest(y - 12, 2 - (y + 5), 0), 2)), 6) AS d, 12.0 * 7.0 AS e FROM (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice / 100 AS y FROM part)""")
+    round(sqrt(pow(greatest(x - 30, 5 - (x + 10), 0), 2) + pow(greatest(y - 12, 2 - (y + 5), 0), 2)), 6) AS d, 84::DOUBLE AS e FROM (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice / 100 AS y FROM part)""")
 def s63_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda *x: F.array(*[F.lit(float(v)) for v in x])
     x, y = F.col("p_size").cast("double"), F.col("p_retailprice") / 100
