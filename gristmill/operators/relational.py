@@ -202,6 +202,14 @@ def crosstab(df: DataFrame, row: str, category: str, value: str, categories: lis
     return df.groupBy(row).pivot(category, categories).agg(F.first(value, ignorenulls=True))
 
 
+def crosstab_by_place(df: DataFrame, row: str, order: list[str], value: str, n: int) -> DataFrame:
+    """Without a list of categories: each row's values fill c1 to cn from the left in the order given, nulls beyond the
+    last one. A task keeps the first n of each row before the shuffle."""
+    (place,) = spare(df, "_place")
+    first = df.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(*order, value))).filter(F.col(place) <= n)
+    return first.groupBy(row).agg(*[F.max(F.when(F.col(place) == k, F.col(value))).alias(f"c{k}") for k in range(1, n + 1)])
+
+
 def connect_by(df: DataFrame, key: str, parent: str, start, max_depth: int = 0) -> DataFrame:
     """(key, parent, level, branch): the tree below `start`, its path joined by '~'. A key that repeats on its own
     path is an error, as endless recursion would be."""

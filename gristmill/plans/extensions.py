@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import compat, shapes, values
 from gristmill.functions import extensions as ex
+from gristmill.operators import relational
 from gristmill.plans.common import load
 from gristmill.sql import Session
 
@@ -246,6 +247,11 @@ def s78_scroll_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(places, "o_orderkey long, n long")
 
 
+@register("""SELECT l_orderkey, max(q) FILTER (k = 1) AS c1, max(q) FILTER (k = 2) AS c2, max(q) FILTER (k = 3) AS c3 FROM (SELECT l_orderkey, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS k FROM lineitem) GROUP BY l_orderkey""")
+def s79_crosstab_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.crosstab_by_place(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", ["l_linenumber"], "l_quantity", 3)
+
+
 # ---- the rest of the built-in functions, through the SQL entry point
 
 both(

@@ -188,3 +188,12 @@ def test_cluster_views(spark, tmp_path):
     near = {r.i: r.j for r in v["SD"].groupBy("i").agg(F.min_by("j", "dist").alias("j")).collect()}
     most = {r.i: r.j for r in v["U"].groupBy("i").agg(F.max_by("j", "val").alias("j")).collect()}
     assert near == most and len(set(near.values())) == 2
+
+
+def test_crosstab_by_place(spark):
+    from gristmill.operators import relational
+
+    rows = spark.createDataFrame([("a", 2, "y", 0), ("a", 1, "x", 0), ("a", 3, "z", 0), (None, 1, "n", 0), ("b", 1, None, 0)], "k string, at int, v string, _place int")
+    got = {r.k: (r.c1, r.c2) for r in relational.crosstab_by_place(rows, "k", ["at"], "v", 2).collect()}
+    assert got == {"a": ("x", "y"), None: ("n", None), "b": (None, None)}
+    assert relational.crosstab_by_place(rows.limit(0), "k", ["at"], "v", 2).collect() == []
