@@ -206,7 +206,7 @@ def crosstab_by_place(df: DataFrame, row: str, order: list[str], value: str, n:
     """Without a list of categories: each row's values fill c1 to cn from the left in the order given, nulls beyond the
     last one. A task keeps the first n of each row before the shuffle."""
     (place,) = spare(df, "_place")
-    first = df.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(*order, value))).filter(F.col(place) <= n)
+    first = df.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(*[F.asc_nulls_last(c) for c in [*order, value]]))).filter(F.col(place) <= n)
     return first.groupBy(row).agg(*[F.max(F.when(F.col(place) == k, F.col(value))).alias(f"c{k}") for k in range(1, n + 1)])
 
 
