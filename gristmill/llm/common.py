@@ -105,11 +105,28 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes that Spark takes an unknown size for.
+MOST_SIZE = 2**63 - 1
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows behind a reliable checkpoint: lost executors cost no upstream work, and what was
-    nondeterministic above, such as sampled range bounds, is now fixed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    nondeterministic above, such as sampled range bounds, is now fixed. A checkpoint keeps the size that was estimated
+    for its plan, and a join's is the product of both sides', so in a loop its digits double with each round until they
+    fill the driver. One beyond MOST_SIZE is dropped; Spark's default for an unknown size takes its place."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    held = df.checkpoint()
+    plan = held._jdf.logicalPlan()
+    try:
+        if plan.stats().sizeInBytes() <= MOST_SIZE:
+            return held
+    except ValueError:  # Python reads no number of more than 4300 digits
+        pass
+    jvm = spark.sparkContext._jvm
+    none = jvm.scala.Option.empty()
+    rows = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), spark._jsparkSession, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, rows), spark)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
