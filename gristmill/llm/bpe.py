@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import batches, fresh, slices, table, text_udf
+from gristmill.llm.common import batches, fresh, release, slices, table, text_udf
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of pieces in one recursive query, pieces in a worker's cache, ids decoded by one query.
@@ -272,6 +272,7 @@ def tokenize(df: DataFrame, text: str = "text", path: str | None = None) -> Data
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             yield pa.StructArray.from_arrays([flat, pa.array(same, pa.bool_())], fields=list(_TOKENS))
+        release()
 
     (b,) = fresh(df, "_bpe")
     got = df.withColumn(b, F.arrow_udf(run, "struct<ids:array<int>,same:boolean>")(F.col(text)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -66,6 +67,25 @@ def batches(items: list, sizes: list[int], most: int) -> Iterator[list]:
         yield part
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system. A worker lives on after its task, and several of
+    them share an executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """fn, which turns batches into batches, with a release() once its task has ended."""
+
+    def run(it: Iterator) -> Iterator:
+        yield from fn(it)
+        release()
+
+    return run
+
+
 def text_udf(fn: Callable[[], Callable[[list[str]], list]], kind: str, arrow: pa.DataType, limit: int = SLICE_CHARS):
     """An Arrow UDF over one string column. fn() is called once for each partition and returns the function
     that turns a list of texts into a list of results, so that automata and caches live as long as the task."""
@@ -77,6 +97,8 @@ def text_udf(fn: Callable[[], Callable[[list[str]], list]], kind: str, arrow: pa
             for part in slices(batch, limit):
                 out += work(part)
             yield pa.array(out, type=arrow)
+        del work
+        release()
 
     run.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, kind)

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import HOT, batches, cut, fresh, look_up, table
+from gristmill.llm.common import HOT, batches, cut, fresh, look_up, released, table
 from gristmill.llm.components import components
 
 SHINGLE = 4
@@ -237,8 +237,8 @@ def _gathered(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray,
 
 def _route(df: DataFrame, mapper, schema_out: str, gather, parts: int, frequencies: bool) -> DataFrame:
     """Chunks out to the parts of the token space and back."""
-    sent = df.mapInArrow(mapper, ROUTED).repartition(parts, "part").mapInArrow(_counter(frequencies), ROUTED)
-    return sent.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(gather, schema_out)
+    sent = df.mapInArrow(released(mapper), ROUTED).repartition(parts, "part").mapInArrow(released(_counter(frequencies)), ROUTED)
+    return sent.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(released(gather), schema_out)
 
 
 def _parts(df: DataFrame, size: Column) -> int:
@@ -445,7 +445,7 @@ def star_edges(signed: DataFrame) -> DataFrame:
         if sig:
             yield from told(_star(np.concatenate(sig), np.concatenate(who))[2])
 
-    return signed.select("cid", "signatures").mapInArrow(mapper, ROUTED).repartition(parts, "part").mapInArrow(reducer, EDGES).distinct()
+    return signed.select("cid", "signatures").mapInArrow(released(mapper), ROUTED).repartition(parts, "part").mapInArrow(released(reducer), EDGES).distinct()
 
 
 def signature_lists(signed: DataFrame) -> DataFrame:
@@ -553,7 +553,7 @@ def verified_links(signed: DataFrame, clusters: DataFrame, least: int, per: int)
                 sets.append(np.frombuffer(raw, "<u8"))
         yield from done()
 
-    return dealt.mapInArrow(verify, EDGES)
+    return dealt.mapInArrow(released(verify), EDGES)
 
 
 def _found(docs: DataFrame, size: int, least: int, per: int) -> DataFrame:

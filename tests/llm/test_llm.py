@@ -758,3 +758,12 @@ def test_components_sizes(spark):
     second = components.components(links)
     assert size(first) <= 2**64 and size(second) <= 2**64
     assert second.count() == 3001 and second.filter("label <> 0").isEmpty()
+
+
+def test_release(monkeypatch):
+    """A task gives free memory back once its batches are done, not between them."""
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    out = common.released(lambda it: (x + 1 for x in it))(iter([1, 2]))
+    assert next(out) == 2 and not calls
+    assert list(out) == [3] and calls == [1]
