@@ -107,7 +107,7 @@ def to_char_number(x: Column, template: str) -> Column:
             keep = tail.rfind("0") + 1
             fraction = F.concat(F.substring(fraction, 1, keep), F.regexp_replace(F.substring(fraction, keep + 1, places), "0+$", "")) if places else fraction
         number = F.concat(number, F.lit("."), fraction)
-    low, bare = size < 0, F.ltrim(number)
+    low, bare = x < 0, F.ltrim(number)  # a number that rounds to zero keeps its sign
     width = len(whole) + (1 + places if "." in body.replace("D", ".") else 0)
     if sign == "MI":
         out = F.concat(F.lpad(bare, width, " "), F.when(low, "-").otherwise("" if tight else " "))
