@@ -72,20 +72,38 @@ def inherit(parent: DataFrame, *children: DataFrame) -> DataFrame:
     return out.select(*parent.columns)
 
 
+#: Estimated sizes of a checkpoint beyond this are dropped.
+MOST_SIZE = 2**63 - 1
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint that keeps nothing of its plan but the partitioning and order. Spark hands the plan's constraints
+    on, and infers new filters from them and from expressions that are joined on; in a loop these, as the product of
+    the sizes that a join is estimated at, grow with each round until they fill the driver."""
+    spark = df.sparkSession
+    held = df.checkpoint()
+    plan = held._jdf.logicalPlan()
+    jvm = spark.sparkContext._jvm
+    none = jvm.scala.Option.empty()
+    size = jvm.scala.Option.apply(plan.stats()) if plan.stats().sizeInBytes() <= MOST_SIZE else none
+    rows = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), spark._jsparkSession, size, none)
+    return type(df)(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, rows), spark)
+
+
 def recursive_union(seed: DataFrame, step, distinct: bool = True, most: int = 10_000) -> DataFrame:
     """WITH RECURSIVE: step(working) gives the next rows until there are none. With distinct, rows that any round
     had already are dropped, so that cycles end. Each round's rows are checkpointed; the plan doesn't grow."""
-    known = seed.distinct().checkpoint() if distinct else seed.checkpoint()
+    known = settled(seed.distinct() if distinct else seed)
     work = known
     for _ in range(most):
         new = step(work).select(*seed.columns)
         if distinct:
             on = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in seed.columns]
             new = new.distinct().alias("n").join(known.alias("k"), on, "left_anti")
-        work = new.checkpoint()
+        work = settled(new)
         if work.isEmpty():
             return known
-        known = known.unionByName(work).checkpoint()
+        known = settled(known.unionByName(work))
     raise RuntimeError(f"no end after {most} rounds")
 
 
@@ -213,7 +231,9 @@ def crosstab_by_place(df: DataFrame, row: str, order: list[str], value: str, n:
 def connect_by(df: DataFrame, key: str, parent: str, start, max_depth: int = 0) -> DataFrame:
     """(key, parent, level, branch): the tree below `start`, its path joined by '~'. A key that repeats on its own
     path is an error, as endless recursion would be."""
-    links = df.select(F.col(key).alias("_key"), F.col(parent).alias("_parent")).filter(F.col("_parent").isNotNull())
+    # fixed, so that a computed parent isn't computed anew in the filters of each round; merged, as a copy of all links
+    # would go through the driver in each
+    links = settled(df.select(F.col(key).alias("_key"), F.col(parent).alias("_parent")).filter(F.col("_parent").isNotNull())).hint("merge")
     seed = df.filter(F.col(key) == F.lit(start)).select(F.col(key).alias("key"), F.lit(None).cast(df.schema[parent].dataType).alias("parent"), F.lit(0).alias("level"), F.col(key).cast("string").alias("branch")).distinct()
 
     def step(work: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gristmill.functions import formatting as fm
+from gristmill.operators import relational
 
 
 def by_sql(spark, path, name, rows, schema, table):
@@ -29,3 +30,13 @@ def test_points_on_a_circle(spark, tmp_path):
     rows = [(k, size, price) for k, (size, price) in enumerate(((12, 999.72), (28, 999.73), (12, 1000.0), (20, 1800.0), (20, 1801.0), (20, 200.0)))]
     got, want = by_sql(spark, tmp_path, "s60_boxes_and_circles", rows, "p_partkey long, p_size int, p_retailprice double", "part")
     assert got == want and got[0][-1] is True
+
+
+def test_deep_tree_of_computed_parents(spark, monkeypatch):
+    """The plan of a round stays as small as the first ones': their filters grew threefold with each level."""
+    tree = spark.range(1, 1 << 7).selectExpr("id AS k", "CASE WHEN id > 1 THEN id div 2 END AS up")
+    seen, kind = [], type(tree)
+    held = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda df, *a, **k: seen.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or held(df, *a, **k))
+    assert relational.connect_by(tree, "k", "up", 1).count() == (1 << 7) - 1
+    assert max(seen) < 3000
