@@ -64,6 +64,18 @@ def zip_join(left: DataFrame, right: DataFrame, order_left: list[Column], order_
     return numbered(left, order_left, "row_number").join(numbered(right, order_right, "row_number"), "row_number", "full_outer")
 
 
+def or_join(left: DataFrame, right: DataFrame, *any_of: Column) -> DataFrame:
+    """Inner join where one of several conditions holds: a join for each, less the pairs that an earlier one gave.
+    Spark compares all pairs for a condition with OR; equalities apart are hash or merge joins."""
+    out = None
+    for k, c in enumerate(any_of):
+        got = left.join(right, c)
+        for known in any_of[:k]:
+            got = got.filter(~F.coalesce(known, F.lit(False)))
+        out = got if out is None else out.union(got)
+    return out
+
+
 def inherit(parent: DataFrame, *children: DataFrame) -> DataFrame:
     """A query on a parent table scans its children too, with the parent's columns."""
     out = parent

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from gristmill.plans.common import plain, sql_query
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gristmill.operators import relational
+from gristmill.plans.common import load, plain, sql_query
 
 D2 = "decimal(18,2)"
 
@@ -127,5 +131,12 @@ PAIRS = {
                         "SELECT a.n_name AS x, b.n_name AS y, levenshtein(a.n_name, b.n_name) AS d FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey"),
 }
 
-QUERIES = {k: sql_query(v) for k, v in SHARED.items()} | {k: sql_query(a) for k, (a, _) in PAIRS.items()}
+
+def q20_or_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = load(spark, sf_dir, "customer").select("c_custkey"), load(spark, sf_dir, "supplier").select("s_suppkey")
+    met = relational.or_join(c, s, F.col("c_custkey") == F.col("s_suppkey"), F.col("c_custkey") == F.col("s_suppkey") + 10)
+    return met.agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {k: sql_query(v) for k, v in SHARED.items()} | {k: sql_query(a) for k, (a, _) in PAIRS.items()} | {"q20_or_join": q20_or_join}
 SQL = {k: plain(v) for k, v in SHARED.items()} | {k: plain(b) for k, (_, b) in PAIRS.items()}

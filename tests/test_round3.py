@@ -40,3 +40,11 @@ def test_deep_tree_of_computed_parents(spark, monkeypatch):
     monkeypatch.setattr(kind, "checkpoint", lambda df, *a, **k: seen.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or held(df, *a, **k))
     assert relational.connect_by(tree, "k", "up", 1).count() == (1 << 7) - 1
     assert max(seen) < 3000
+
+
+def test_or_join_without_pairs(spark):
+    plan = entry.queries()["q20_or_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    a, b = spark.createDataFrame([(1, 1), (2, 5), (None, 3)], "x int, y int"), spark.createDataFrame([(1, 1), (2, 3), (3, None)], "u int, v int")
+    got = relational.or_join(a, b, F.col("x") == F.col("u"), F.col("y") == F.col("v"))
+    assert sorted((str(r.x), r.u) for r in got.collect()) == [("1", 1), ("2", 2), ("None", 2)]
