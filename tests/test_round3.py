@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gristmill.functions import formatting as fm
-from gristmill.operators import relational, series
+from gristmill.operators import itemsets, relational, series
 
 
 def by_sql(spark, path, name, rows, schema, table):
@@ -63,3 +63,21 @@ def test_discord_without_pairs_of_chunks(spark, monkeypatch):
             assert got[0].pos == min(p for d, p in near if np.isclose(d, near[0][0], atol=1e-12)) and np.isclose(got[0].distance, (-near[0][0]) ** 0.5)
     monkeypatch.setattr(series, "nearest_neighbours", None)  # it makes a row for each pair of chunks
     assert series.discord(s, 3, 4).count() == 1
+
+
+def test_equal_transactions_are_one(spark, monkeypatch):
+    """What a level writes goes by the different transactions, not by all."""
+    rows = [(t, i) for t in range(60) for i in ("abc" if t % 3 else "abd")] + [(None, "a"), (60, None)]
+    df, most = spark.createDataFrame(rows, "tid int, item string"), []
+    kind, held = type(df), type(df).checkpoint
+
+    def checkpoint(d, *a, **k):
+        out = held(d, *a, **k)
+        if {"tid", "items"} <= set(d.columns):
+            most.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "checkpoint", checkpoint)
+    got = {"".join(r["items"]): r.support for r in itemsets.frequent_itemsets(df, 20).collect()}
+    assert got == {"a": 61, "b": 60, "c": 40, "d": 20, "ab": 60, "ac": 40, "bc": 40, "ad": 20, "bd": 20, "abc": 40, "abd": 20}
+    assert max(most) <= 6
